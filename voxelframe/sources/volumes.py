@@ -1,21 +1,81 @@
-"""Volume rows to voxel rows."""
+"""Volume rows to voxel rows, crop rows, and the bulk ingest of gzipped NIfTI files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gzip
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+VOLUME_SCHEMA = "case_id string, shape array<int>, spacing array<double>, image array<float>, label array<smallint>"
+# NIfTI-1 voxel type codes and their numpy types.
+NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
+
+
+def voxels_of(volumes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Explode volume rows (dense arrays in z, y, x order) to case_id, z, y, x, intensity, label_id (+ ``keep``)."""
+    rows = volumes.select("case_id", "shape", *[c for c in keep if c != "shape"], F.expr("posexplode(arrays_zip(image, label)) as (pos, cell)"))
+    return rows.selectExpr(
+        "case_id", *keep,
+        "int(pos div (shape[1] * shape[2])) as z", "int((pos div shape[2]) % shape[1]) as y", "int(pos % shape[2]) as x",
+        "cast(cell.image as double) as intensity", "cast(cell.label as int) as label_id",
+    )
+
+
+def crop_rows(cropped: DataFrame) -> DataFrame:
+    """Crop voxels (case_id, label_id, z, y, x, intensity, inside) packed to one row per region, z, y, x order."""
+    packed = cropped.groupBy("case_id", "label_id").agg(
+        F.expr("array_sort(collect_list(struct(z, y, x, intensity, inside))) as cells"),
+        F.expr("array(max(z) + 1, max(y) + 1, max(x) + 1) as shape"),
+    )
+    return packed.selectExpr(
+        "case_id", "label_id", "shape", "transform(cells, c -> cast(c.intensity as float)) as image",
+        "transform(cells, c -> cast(c.inside as tinyint)) as mask",
+    )
+
+
+def decode_nifti(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Array in z, y, x order and spacing in z, y, x of one .nii or .nii.gz file."""
+    raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    order = "<" if int.from_bytes(raw[0:4], "little") == 348 else ">"
+    dims = np.frombuffer(raw, f"{order}i2", 8, 40)
+    kind = NIFTI_TYPES[int(np.frombuffer(raw, f"{order}i2", 1, 70)[0])]
+    steps = np.frombuffer(raw, f"{order}f4", 8, 76)
+    start, slope, shift = (float(v) for v in np.frombuffer(raw, f"{order}f4", 3, 108))
+    nx, ny, nz = (int(d) for d in dims[1:4])
+    values = np.frombuffer(raw, order + kind, nx * ny * nz, int(start)).reshape(nz, ny, nx)
+    if slope not in (0.0, 1.0) or (shift != 0.0 and slope != 0.0):
+        values = values * (slope or 1.0) + shift
+    return values, (float(steps[3]), float(steps[2]), float(steps[1]))
+
+
+def read_volumes(spark: SparkSession, images: str, labels: str) -> DataFrame:
+    """Pair ``<case>_0000.nii.gz`` images with ``<case>.nii.gz`` labels by name; spacing comes from the label header.
+
+    Files are decoded on the executors before the join, one file at a time; pairs with different grids are kept out
+    (see ``shape_mismatch``).
+    """
+    schema = "case_id string, shape array<int>, spacing array<double>, cells array<double>"
+
+    def decoded(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                name = path.rsplit("/", 1)[-1].split(".nii")[0]
+                values, spacing = decode_nifti(content)
+                yield pd.DataFrame({
+                    "case_id": [name.removesuffix("_0000")], "shape": [list(values.shape)], "spacing": [list(spacing)],
+                    "cells": [values.astype(float).ravel()],
+                })
+
+    def files(folder: str, pattern: str) -> DataFrame:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+        return found.mapInPandas(decoded, schema)
 
-def voxels_of(volumes: DataFrame) -> DataFrame:
-    """Explode volume rows (dense arrays in z, y, x order) to case_id, z, y, x, intensity, label_id."""
-    cell = F.arrays_zip(F.col("image").alias("intensity"), F.col("label").alias("label_id"))
-    rows = volumes.select("case_id", "shape", F.posexplode(cell).alias("pos", "cell"))
-    height, width = F.col("shape")[1], F.col("shape")[2]
-    return rows.select(
-        "case_id",
-        F.floor(F.col("pos") / (height * width)).cast("int").alias("z"),
-        F.floor(F.col("pos") / width).cast("int").__mod__(height).cast("int").alias("y"),
-        (F.col("pos") % width).cast("int").alias("x"),
-        F.col("cell.intensity").cast("double").alias("intensity"),
-        F.col("cell.label_id").cast("int").alias("label_id"),
+    image = files(images, "*_0000.nii*").selectExpr("case_id", "shape", "transform(cells, v -> cast(v as float)) as image")
+    label = files(labels, "*.nii*").selectExpr(
+        "case_id", "shape as label_shape", "spacing", "transform(cells, v -> cast(v as smallint)) as label"
     )
+    paired = image.join(label, "case_id").where("shape = label_shape")
+    return paired.select("case_id", "shape", "spacing", "image", "label")
