@@ -108,3 +108,20 @@ def hashed_position(df: DataFrame, keys: list[str], ident: str, seed: object, ou
     inner = Window.partitionBy(*groups, "_part").orderBy("_md5", ident)
     placed = df.join(parts, [*groups, "_part"]).withColumn(out, F.col("_start") + F.row_number().over(inner) - 1)
     return placed.drop("_md5", "_part", "_start", _ALL)
+
+
+def running_before(df: DataFrame, keys: list[str], part: str, order: list[str], values: dict[str, tuple[str, str]]) -> DataFrame:
+    """Running aggregates over all earlier rows of a group, computed part by part.
+
+    ``part`` is an order-preserving bucket of the rows; ``values`` maps an output name to (sum|min|max, SQL value).
+    Windows see either the parts of one group or the rows of one part, never a whole group of rows.
+    """
+    joined = {"sum": "coalesce({0}, 0) + coalesce({1}, 0)", "min": "least({0}, {1})", "max": "greatest({0}, {1})"}
+    parts = df.groupBy(*keys, part).agg(*[F.expr(f"{fn}({sql}) as _p_{name}") for name, (fn, sql) in values.items()])
+    per_group = f"over (partition by {', '.join(keys)} order by {part} rows between unbounded preceding and 1 preceding)"
+    parts = parts.selectExpr(*keys, part, *[f"{fn}(_p_{name}) {per_group} as _b_{name}" for name, (fn, _) in values.items()])
+    per_part = f"over (partition by {', '.join([*keys, part])} order by {', '.join(order)} rows between unbounded preceding and 1 preceding)"
+    return df.join(parts, [*keys, part]).selectExpr(
+        *df.columns,
+        *[f"{joined[fn].format(f'_b_{name}', f'{fn}({sql}) {per_part}')} as {name}" for name, (fn, sql) in values.items()],
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelframe.functions.ranking import running_before
 from voxelframe.session import configure
 
 REGION = ["case_id", "label_id"]
@@ -115,14 +116,9 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, folder: str) -> DataFrame:
-    """Training-log rows: fold = user, epoch = order of the user's events, loss = event value."""
-    from pyspark.sql import Window
-
-    events = table(spark, folder, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return events.select(
-        F.col("user_id").alias("fold"),
-        F.row_number().over(order).alias("epoch"),
-        F.col("value").alias("val_loss"),
-        F.col("event_type").alias("metric"),
+    """Training-log rows: fold = user, epoch = order of the user's events, loss = event value, metric = event type."""
+    events = table(spark, folder, "events").selectExpr(
+        "user_id as fold", "ts", "event_id", "value as val_loss", "event_type as metric", "date_trunc('HOUR', ts) as slot"
     )
+    placed = running_before(events, ["fold"], "slot", ["ts", "event_id"], {"seen": ("sum", "1")})
+    return placed.selectExpr("fold", "cast(seen + 1 as bigint) as epoch", "val_loss", "metric")
