@@ -9,6 +9,7 @@ from voxelframe.catalog.tables import scratch
 from voxelframe.functions import scalar
 from voxelframe.functions.ranking import average_rank
 from voxelframe.operators import metrics, quality, rollup, selection
+from voxelframe.session import cut_lineage
 from voxelframe.sources import bindings, records
 from voxelframe.sources.bindings import table
 
@@ -37,7 +38,7 @@ def wide(spark, folder):
 
 def filled(spark, folder):
     rows = wide(spark, folder)
-    return quality.fill_median(rows, quality.medians(rows, []), [])
+    return cut_lineage(quality.fill_median(rows, quality.medians(rows, []), []))
 
 
 @query("valid_features", f"WITH {WIDE} SELECT feature, count(value) AS n_values, count(value) > 0 AS any_value, count(DISTINCT value) > 1 AS varies FROM wide GROUP BY ALL")

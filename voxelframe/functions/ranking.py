@@ -7,7 +7,7 @@ small however large the group is. Full rows are only ordered inside a (group, ce
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CELLS_PER_OCTAVE = 1024
@@ -15,40 +15,43 @@ _EXPONENT_SHIFT = 1100  # above the smallest binary exponent of a double, so cod
 _ALL = "_all"
 
 
-def cell_code(value: Column) -> Column:
-    """Order-preserving bucket number of a finite double."""
-    size = F.abs(value)
-    exponent = F.floor(F.log2(size))
-    mantissa = size / F.pow(F.lit(2.0), exponent) - 1.0
-    code = ((exponent + _EXPONENT_SHIFT) * CELLS_PER_OCTAVE + F.floor(mantissa * CELLS_PER_OCTAVE)).cast("bigint")
-    return F.when(value > 0, code).when(value < 0, -code).otherwise(F.lit(0).cast("bigint"))
+def cell_code(value: str) -> str:
+    """SQL: order-preserving bucket number of a finite double."""
+    exponent = f"floor(log2(abs({value})))"
+    code = f"({exponent} + {_EXPONENT_SHIFT}) * {CELLS_PER_OCTAVE} + floor((abs({value}) / power(2D, {exponent}) - 1) * {CELLS_PER_OCTAVE})"
+    return f"cast(if({value} = 0, 0, sign({value}) * ({code})) as bigint)"
 
 
-def _before(total: str, keys: list[str], order: list[str]) -> Column:
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(total).over(frame), F.lit(0))
+def _earlier(keys: list[str], order: str) -> str:
+    return f"over (partition by {', '.join(keys)} order by {order} rows between unbounded preceding and 1 preceding)"
 
 
-def _cells(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    counts = df.groupBy(*keys, cell_code(F.col(value)).alias("_cell")).agg(F.count(F.lit(1)).alias("_cell_n"))
-    return counts.withColumn("_cell_before", _before("_cell_n", keys, ["_cell"]))
+def _cells(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per (keys, _cell), rows in earlier cells, and rows of the whole group."""
+    counts = rows.groupBy(*keys, "_cell").agg(F.expr("count(1) as _cell_n"))
+    return counts.selectExpr(
+        *keys, "_cell", "_cell_n", f"coalesce(sum(_cell_n) {_earlier(keys, '_cell')}, 0) as _start",
+        f"sum(_cell_n) over (partition by {', '.join(keys)}) as total",
+    )
+
 
+def value_ranks(df: DataFrame, keys: list[str], value: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """One row per distinct value of a group: ``n`` rows, average ``rank`` (ties share it), ``total`` rows of the group.
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
-    """One row per distinct value of a group: ``n`` rows, average ``rank`` (ties share it), plus extra aggregates."""
-    df = df.where(F.col(value).isNotNull()).withColumn(_ALL, F.lit(0))
+    ``sums`` adds aggregates per distinct value (name -> SQL).
+    """
     groups = [*keys, _ALL]
-    extra = [column.alias(name) for name, column in (sums or {}).items()]
-    distinct = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"), *extra)
-    distinct = distinct.withColumn("_cell", cell_code(F.col(value)))
-    located = distinct.join(_cells(df, groups, value), [*groups, "_cell"])
-    before = F.col("_cell_before") + _before("n", [*groups, "_cell"], [value])
-    return located.withColumn("rank", before + (F.col("n") + 1) / 2.0).drop("_cell", "_cell_n", "_cell_before", _ALL)
+    df = df.where(f"{value} is not null").selectExpr("*", f"0 as {_ALL}", f"{cell_code(value)} as _cell")
+    extra = [F.expr(f"{sql} as {name}") for name, sql in (sums or {}).items()]
+    distinct = df.groupBy(*groups, "_cell", value).agg(F.expr("count(1) as n"), *extra)
+    located = distinct.join(_cells(df, groups).drop("_cell_n"), [*groups, "_cell"])
+    inside = f"coalesce(sum(n) {_earlier([*groups, '_cell'], value)}, 0)"
+    return located.selectExpr(*keys, value, "n", *(sums or {}), "total", f"_start + {inside} + (n + 1) / 2D as rank")
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
     """Rows with the average rank of ``value`` in their group; rows without a value get NULL."""
-    ranks = value_ranks(df, keys, value).select(*keys, value, F.col("rank").alias(out))
+    ranks = value_ranks(df, keys, value).selectExpr(*keys, value, f"rank as {out}")
     return df.join(ranks, [*keys, value], "left")
 
 
@@ -57,41 +60,28 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
 
     A histogram over cells finds which cells hold the wanted positions; only rows of those cells are ordered.
     """
-    df = df.where(F.col(value).isNotNull()).withColumn(_ALL, F.lit(0))
     groups = [*keys, _ALL]
-    cells = _cells(df, groups, value).withColumn("_n", F.sum("_cell_n").over(Window.partitionBy(*groups)))
-
-    def position(p: float, rounding) -> Column:
-        return rounding(F.lit(float(p)) * (F.col("_n") - 1)).cast("bigint")
-
-    wanted = F.array_distinct(
-        F.array(*[position(p, r) for p in probs.values() for r in (F.floor, F.ceil)])
+    rows = df.where(f"{value} is not null").selectExpr(*keys, value, f"0 as {_ALL}", f"{cell_code(value)} as _cell")
+    low = {name: f"cast(floor({float(p)!r}D * (total - 1)) as bigint)" for name, p in probs.items()}
+    high = {name: f"cast(ceil({float(p)!r}D * (total - 1)) as bigint)" for name, p in probs.items()}
+    wanted = f"array_distinct(array({', '.join([*low.values(), *high.values()])}))"
+    hit = _cells(rows, groups).selectExpr(
+        *groups, "_cell", "_start", "total", f"filter({wanted}, i -> i >= _start and i < _start + _cell_n) as _at"
+    ).where("size(_at) > 0")
+    counted = rows.join(hit, [*groups, "_cell"]).groupBy(*groups, "_cell", value).agg(
+        F.expr("count(1) as _k"), F.expr("first(_start) as _start"), F.expr("first(total) as total"), F.expr("first(_at) as _at")
     )
-    start, stop = F.col("_cell_before"), F.col("_cell_before") + F.col("_cell_n")
-    hit = cells.withColumn("_at", F.filter(wanted, lambda i: (i >= start) & (i < stop))).where(F.size("_at") > 0)
-    rows = df.select(*groups, value).withColumn("_cell", cell_code(F.col(value)))
-    counted = (
-        rows.join(hit.select(*groups, "_cell"), [*groups, "_cell"], "left_semi")
-        .groupBy(*groups, "_cell", value)
-        .agg(F.count(F.lit(1)).alias("_k"))
-        .join(hit, [*groups, "_cell"])
+    first = f"_start + coalesce(sum(_k) {_earlier([*groups, '_cell'], value)}, 0)"
+    at = counted.selectExpr(*groups, "total", value, "_k", "_at", f"{first} as _first").selectExpr(
+        *groups, "total", value, "explode(filter(_at, i -> i >= _first and i < _first + _k)) as _i"
     )
-    first = F.col("_cell_before") + _before("_k", [*groups, "_cell"], [value])
-    placed = counted.withColumn("_first", first).withColumn("_last", F.col("_first") + F.col("_k") - 1)
-    at = placed.select(*groups, "_n", value, F.explode("_at").alias("_i"), "_first", "_last").where(
-        F.col("_i").between(F.col("_first"), F.col("_last"))
+    picks = [F.expr(f"max(if(_i = {position[name]}, {value}, null)) as `{side}{name}`")
+             for name in probs for side, position in (("<", low), (">", high))]
+    ends = at.groupBy(*groups, "total").agg(*picks)
+    share = "({0!r}D * (total - 1) - floor({0!r}D * (total - 1)))"
+    return ends.selectExpr(
+        *keys, *[f"`<{name}` + (`>{name}` - `<{name}`) * {share.format(float(p))} as `{name}`" for name, p in probs.items()]
     )
-    picks = []
-    for j, p in enumerate(probs.values()):
-        picks.append(F.max(F.when(F.col("_i") == position(p, F.floor), F.col(value))).alias(f"_lo{j}"))
-        picks.append(F.max(F.when(F.col("_i") == position(p, F.ceil), F.col(value))).alias(f"_hi{j}"))
-    ends = at.groupBy(*groups, "_n").agg(*picks)
-    out = []
-    for j, (name, p) in enumerate(probs.items()):
-        exact = F.lit(float(p)) * (F.col("_n") - 1)
-        share = exact - F.floor(exact)
-        out.append((F.col(f"_lo{j}") + (F.col(f"_hi{j}") - F.col(f"_lo{j}")) * share).alias(name))
-    return ends.select(*keys, *out)
 
 
 def hashed_position(df: DataFrame, keys: list[str], ident: str, seed: object, out: str = "position") -> DataFrame:
@@ -99,15 +89,15 @@ def hashed_position(df: DataFrame, keys: list[str], ident: str, seed: object, ou
 
     The first three hex digits split every group into 4096 even, ordered parts, so no task sorts a whole group.
     """
-    df = df.withColumn(_ALL, F.lit(0)).withColumn("_md5", F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"))))
-    df = df.withColumn("_part", F.substring("_md5", 1, 3))
     groups = [*keys, _ALL]
-    parts = df.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.withColumn("_start", _before("_n", groups, ["_part"]))
-    parts = parts.withColumn(f"{out}_of", F.sum("_n").over(Window.partitionBy(*groups))).drop("_n")
-    inner = Window.partitionBy(*groups, "_part").orderBy("_md5", ident)
-    placed = df.join(parts, [*groups, "_part"]).withColumn(out, F.col("_start") + F.row_number().over(inner) - 1)
-    return placed.drop("_md5", "_part", "_start", _ALL)
+    rows = df.selectExpr("*", f"0 as {_ALL}", f"md5(concat('{seed}:', {ident})) as _md5").selectExpr("*", "substr(_md5, 1, 3) as _part")
+    parts = rows.groupBy(*groups, "_part").agg(F.expr("count(1) as _n"))
+    parts = parts.selectExpr(
+        *groups, "_part", f"coalesce(sum(_n) {_earlier(groups, '_part')}, 0) as _start",
+        f"sum(_n) over (partition by {', '.join(groups)}) as {out}_of",
+    )
+    inner = f"row_number() over (partition by {', '.join([*groups, '_part'])} order by _md5, {ident})"
+    return rows.join(parts, [*groups, "_part"]).selectExpr(*df.columns, f"{out}_of", f"_start + {inner} - 1 as {out}")
 
 
 def running_before(df: DataFrame, keys: list[str], part: str, order: list[str], values: dict[str, tuple[str, str]]) -> DataFrame:

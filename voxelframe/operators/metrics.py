@@ -77,7 +77,7 @@ def brier(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
 def roc_auc(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Area under the curve from average ranks of ``proba``; NULL with a single class. Counts per distinct score suffice."""
     rows, groups = _keyed(rows, list(keys))
-    ranks = value_ranks(rows, groups, "proba", {"pos": F.sum(F.col("y_true").cast("bigint"))})
+    ranks = value_ranks(rows, groups, "proba", {"pos": "sum(cast(y_true as bigint))"})
     sums = ranks.groupBy(*groups).agg(
         F.expr("sum(rank * pos) as rank_sum"), F.expr("double(sum(pos)) as p"), F.expr("double(sum(n - pos)) as q")
     )

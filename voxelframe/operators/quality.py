@@ -31,7 +31,10 @@ def medians(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fill_median(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace missing values by the medians in ``stats``; a feature without a median drops out."""
+    """Replace missing values by the medians in ``stats``; a feature without a median drops out.
+
+    Write the result with ``cut_lineage`` where several statistics follow, or each of them finds the medians again.
+    """
     return rows.join(stats, [*keys, "feature"]).withColumn("value", F.coalesce("value", "median")).drop("median")
 
 
@@ -61,10 +64,8 @@ def spearman(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     keys = list(keys)
     rows = rows.withColumn("_set", F.lit(0))
     groups = [*keys, "_set"]
-    ranks = value_ranks(rows, [*groups, "feature"], "value")
-    totals = rows.groupBy(*groups, "feature").agg(F.count("value").alias("total"))
-    centred = ranks.join(totals, [*groups, "feature"]).selectExpr(*groups, "feature", "value", "rank - (total + 1) / 2D as rank")
-    ranked = rows.join(centred, [*groups, "feature", "value"])
+    ranks = value_ranks(rows, [*groups, "feature"], "value").selectExpr(*groups, "feature", "value", "rank - (total + 1) / 2D as rank")
+    ranked = rows.join(ranks, [*groups, "feature", "value"])
     vectors = ranked.groupBy(*groups, "sample_id").agg(F.expr("array_sort(collect_list(struct(feature, rank))) as cells"))
     vectors = vectors.selectExpr(*groups, "transform(cells, c -> c.rank) as ranks")
     names = rows.groupBy(*groups).agg(F.array_sort(F.collect_set("feature")).alias("names"))
@@ -83,14 +84,10 @@ def spearman(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     schema = "i int, j int, s double, " + ", ".join(f"{g} {kinds[g]}" for g in groups)
     products = vectors.mapInPandas(partial_products, schema).groupBy(*groups, "i", "j").agg(F.sum("s").alias("s"))
     own = products.where("i = j")
-    pairs = (
-        products.where("i < j")
-        .join(own.selectExpr(*groups, "i", "s as si"), [*groups, "i"])
-        .join(own.selectExpr(*groups, "j", "s as sj"), [*groups, "j"])
-        .join(names, groups)
-    )
+    sizes = own.groupBy(*groups).agg(F.expr("transform(array_sort(collect_list(struct(i, s))), c -> c.s) as sizes"))
+    pairs = products.where("i < j").join(sizes.join(names, groups), groups)
     return pairs.selectExpr(
-        *keys, "names[i] as a", "names[j] as b", "if(si > 0 and sj > 0, s / sqrt(si * sj), 0D) as r"
+        *keys, "names[i] as a", "names[j] as b", "if(sizes[i] > 0 and sizes[j] > 0, s / sqrt(sizes[i] * sizes[j]), 0D) as r"
     )
 
 

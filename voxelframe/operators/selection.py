@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.operators import quality
+from voxelframe.session import cut_lineage
 
 DEFAULT_K = 128
 
@@ -14,6 +15,7 @@ def impute_and_scale(rows: DataFrame) -> DataFrame:
     """Median fill and standardisation with statistics of each fold's own training rows."""
     keys = ["fold"]
     full = quality.fill_median(rows, quality.medians(rows.where("role = 'train'"), keys), keys)
+    full = cut_lineage(full)
     return quality.standardize(full, quality.scale_stats(full.where("role = 'train'"), keys), keys)
 
 
@@ -26,8 +28,9 @@ def select_per_fold(
 ) -> DataFrame:
     """Chosen features of every fold with score and place: variance, then correlation, then the k best by F."""
     keys = ["fold"]
-    train = impute_and_scale(rows).where("role = 'train'")
+    train = cut_lineage(impute_and_scale(rows).where("role = 'train'"))
     varied = quality.variance_filter(train, keys, variance).select(*keys, "feature")
+    varied = cut_lineage(varied)  # a row per fold and feature
     train = train.join(varied, [*keys, "feature"], "left_semi")
     kept = quality.correlation_prune(varied, quality.spearman(train, keys), correlation, keys)
     train = train.join(kept, [*keys, "feature"], "left_semi")
