@@ -318,8 +318,8 @@ def _(spark, folder):
 
 
 # Whole volumes masked by label 2 as the region of every case.
-MASKED = VOX.replace("vox AS", "raw AS", 1) + """, vox AS (SELECT case_id, z, y, x,
-  CASE WHEN label_id = 2 THEN intensity ELSE 0 END AS intensity, CAST(label_id = 2 AS INTEGER) AS inside FROM raw)"""
+MASKED = VOX.replace("vox AS", "vox0 AS", 1) + """, vox AS (SELECT case_id, z, y, x,
+  CASE WHEN label_id = 2 THEN intensity ELSE 0 END AS intensity, CAST(label_id = 2 AS INTEGER) AS inside FROM vox0)"""
 BANK = f"""{MASKED}{SWT[len(VOX):]}, {log_sql(1.0, 'vox', 'lg')}, gr AS ({gradient_sql('vox', steps=('1.0', '1.0', '1.0'))}),
 bank AS (SELECT case_id, z, y, x, 'image' AS channel, intensity AS value FROM vox
   UNION ALL SELECT case_id, z, y, x, 'swt_' || band, value FROM swt

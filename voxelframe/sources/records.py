@@ -16,9 +16,14 @@ PLAN_KEYS = [
 ]
 
 
-def write_features(rows: DataFrame, path: str) -> None:
-    """Append long feature rows; the hash is a partition folder, so a scan of one configuration reads only its files."""
-    rows.repartition("config_hash", F.expr("pmod(xxhash64(case_id), 16)")).write.mode("append").partitionBy("config_hash").parquet(path)
+def write_features(rows: DataFrame, path: str, replace: bool = False) -> None:
+    """Append long feature rows; the hash is a partition folder, so a scan of one configuration reads only its files.
+
+    ``replace`` overwrites the folders of the hashes in ``rows`` and leaves the others.
+    """
+    parts = rows.repartition("config_hash", F.expr("pmod(xxhash64(case_id), 16)"))
+    mode = parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else parts.write.mode("append")
+    mode.partitionBy("config_hash").parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, config_hash: str) -> DataFrame:
@@ -85,16 +90,15 @@ def read_fold_metrics(docs: DataFrame, model: str) -> DataFrame:
 
 
 def write_plan(plan: DataFrame, path: str) -> None:
-    plan.write.mode("overwrite").json(path)
+    plan.coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def read_plan(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_plan(spark: SparkSession, path: str) -> DataFrame:
     """One-row plan; fails on a missing key or another version."""
-    found = set(spark.read.json(path).columns)
-    missing = [key for key in PLAN_KEYS if key not in found and key in [f.name for f in schema]]
+    plan = spark.read.parquet(path)
+    missing = [key for key in PLAN_KEYS if key not in plan.columns]
     if missing:
         raise ValueError(f"plan lacks {missing}")
-    plan = spark.read.schema(schema).json(path)
     if plan.where(F.col("version") != PLAN_VERSION).head(1):
         raise ValueError("unsupported plan version")
     return plan
