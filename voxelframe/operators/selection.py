@@ -19,21 +19,25 @@ def impute_and_scale(rows: DataFrame) -> DataFrame:
     return quality.standardize(full, quality.scale_stats(full.where("role = 'train'"), keys), keys)
 
 
-def select_per_fold(
-    rows: DataFrame,
+def rank_train(
+    scaled: DataFrame,
     k: int = DEFAULT_K,
     variance: float = quality.FOLD_VARIANCE,
     correlation: float = quality.FOLD_CORRELATION,
     regression: bool = False,
 ) -> DataFrame:
-    """Chosen features of every fold with score and place: variance, then correlation, then the k best by F."""
+    """Features of every fold with score and place on scaled rows: variance, then correlation, then the k best by F."""
     keys = ["fold"]
-    train = cut_lineage(impute_and_scale(rows).where("role = 'train'"))
-    varied = quality.variance_filter(train, keys, variance).select(*keys, "feature")
-    varied = cut_lineage(varied)  # a row per fold and feature
+    train = scaled.where("role = 'train'")
+    varied = cut_lineage(quality.variance_filter(train, keys, variance).select(*keys, "feature"))  # a row per fold and feature
     train = train.join(varied, [*keys, "feature"], "left_semi")
     kept = quality.correlation_prune(varied, quality.spearman(train, keys), correlation, keys)
     train = train.join(kept, [*keys, "feature"], "left_semi")
     scores = quality.f_regression(train, keys) if regression else quality.anova_f(train, keys)
     placed = scores.withColumn("place", F.expr("int(row_number() over (partition by fold order by f desc nulls last, feature))"))
     return placed.where(F.col("place") <= k)
+
+
+def select_per_fold(rows: DataFrame, **options) -> DataFrame:
+    """Chosen features of every fold from raw rows; see ``rank_train`` for the options."""
+    return rank_train(cut_lineage(impute_and_scale(rows)), **options)
