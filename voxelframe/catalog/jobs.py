@@ -257,3 +257,68 @@ def _(spark, folder):
     return rounded(extraction.reproducibility(long, 4)[0])
 
 
+
+
+# ------------------------------------------------------------------ ingest and stream
+def nifti_bytes(values, spacing) -> bytes:
+    """A gzipped NIfTI-1 file of a (z, y, x) array."""
+    import gzip
+
+    import numpy as np
+
+    code = {"float32": (16, 32), "int16": (4, 16)}[str(values.dtype)]
+    head = bytearray(352)
+    head[0:4] = np.int32(348).tobytes()
+    head[40:56] = np.array([3, *values.shape[::-1], 1, 1, 1, 1], "<i2").tobytes()
+    head[70:74] = np.array(code, "<i2").tobytes()
+    head[76:108] = np.array([1, *spacing[::-1], 0, 0, 0, 0], "<f4").tobytes()
+    head[108:116] = np.array([352, 1], "<f4").tobytes()
+    head[344:348] = b"n+1\0"
+    return gzip.compress(bytes(head) + values.tobytes(), 1)
+
+
+def write_nifti(volumes, images: str, labels: str):
+    """Write image and label files of every case from the tasks; returns the number of cases."""
+    import numpy as np
+    import pandas as pd
+
+    def written(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                shape = tuple(row.shape)
+                for folder, tail, cells, kind in ((images, "_0000", row.image, "float32"), (labels, "", row.label, "int16")):
+                    with open(f"{folder}/case{row.case_id}{tail}.nii.gz", "wb") as out:
+                        out.write(nifti_bytes(np.asarray(cells, dtype=kind).reshape(shape), row.spacing))
+            yield pd.DataFrame({"cases": [len(batch)]})
+
+    return volumes.mapInPandas(written, "cases long").agg(F.sum("cases")).first()[0]
+
+
+@query("volume_ingest", f"""WITH {VOX}, {SPACING} SELECT 'case' || case_id AS case_id, z, y, x, intensity, label_id, round(sy, 6) AS spacing_y, round(sx, 6) AS spacing_x
+FROM vox JOIN spc USING (case_id)""")
+def _(spark, folder):
+    import os
+
+    from voxelframe.sources.volumes import read_volumes, voxels_of
+
+    images, labels = scratch(spark, "images"), scratch(spark, "labels")
+    os.makedirs(images, exist_ok=True)
+    os.makedirs(labels, exist_ok=True)
+    write_nifti(volumes(spark, folder), images, labels)
+    rows = voxels_of(read_volumes(spark, images, labels), ("spacing",))
+    return rows.selectExpr("case_id", *AXES, "intensity", "label_id", "round(spacing[1], 6) as spacing_y", "round(spacing[2], 6) as spacing_x")
+
+
+@query("extract_stream", GLDM_LONG)
+def _(spark, folder):
+    """Crops that arrive in two batches end up in the store once."""
+    from voxelframe.streaming.crops import extract_stream
+
+    crops, store, marks = scratch(spark, "stream-crops"), scratch(spark, "stream-store"), scratch(spark, "stream-marks")
+    rows = whole_crops(spark, folder)
+    for part in (0, 1):
+        rows.where(f"case_id % 2 = {part}").write.mode("append").parquet(crops)
+        extract_stream(
+            spark, crops, store, marks, "aaaa0001", ("gldm",), lambda r: intensity.discretize_width(r, REGION, WIDTH)
+        ).awaitTermination()
+    return rounded(records.read_features(spark, store, "aaaa0001"))
