@@ -37,9 +37,10 @@ def test_value_ranks_total(frame):
     assert (got["n"] == got["total"]).all()
 
 
-def test_percentiles(frame):
+@pytest.mark.parametrize("whole_up_to", [0, 400, 10**6])  # all by cells, one group by cells, none
+def test_percentiles(frame, whole_up_to):
     probs = {"p00": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = percentiles(frame[1], ["g"], "v", probs).toPandas().set_index("g")
+    got = percentiles(frame[1], ["g"], "v", probs, whole_up_to).toPandas().set_index("g")
     for g, part in frame[0].groupby("g"):
         for name, p in probs.items():
             assert got.loc[g, name] == pytest.approx(np.quantile(part["v"], p), rel=1e-12)

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelframe.session import cut_lineage
+
 CELLS_PER_OCTAVE = 1024
 _EXPONENT_SHIFT = 1100  # above the smallest binary exponent of a double, so codes of positive values are positive
+WHOLE_GROUP = 1_000_000  # rows of a group that one task may hold for an exact percentile
 _ALL = "_all"
 
 
@@ -55,9 +58,31 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank")
     return df.join(ranks, [*keys, value], "left")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], whole_up_to: int = WHOLE_GROUP) -> DataFrame:
     """Exact linearly interpolated percentiles, one column per entry of ``probs``.
 
+    Groups of at most ``whole_up_to`` rows use the built-in aggregate, which keeps the values of a group in memory.
+    Larger groups, listed in a small stored table, go through cells; that branch exists only if there are any.
+    """
+    rows = df.where(f"{value} is not null").select(*keys, value)
+    if not keys:
+        return cell_percentiles(rows, keys, value, probs)
+    large = cut_lineage(rows.groupBy(*keys).agg(F.expr("count(1) as n")).where(f"n > {whole_up_to}").select(*keys))
+    list_ = ", ".join(f"{float(p)!r}D" for p in probs.values())
+    names = [f"p[{i}] as `{name}`" for i, name in enumerate(probs)]
+
+    def built_in(part: DataFrame) -> DataFrame:
+        return part.groupBy(*keys).agg(F.expr(f"percentile({value}, array({list_})) as p")).selectExpr(*keys, *names)
+
+    if large.isEmpty():
+        return built_in(rows)
+    rest = built_in(rows.join(large, keys, "left_anti"))
+    return rest.unionByName(cell_percentiles(rows.join(large, keys, "left_semi"), keys, value, probs))
+
+
+def cell_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Percentiles of groups of any size.
+
     A histogram over cells finds which cells hold the wanted positions; only rows of those cells are ordered.
     """
     groups = [*keys, _ALL]

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.operators.tiles import AXES
+from voxelframe.operators.tiles import AXES, TILE_KEYS, TILE_SIZE, tile_index
 
 PAD_MULTIPLE = 8
 SMALLEST_CROP = 32
@@ -23,14 +23,18 @@ def crop_voxels(voxels: DataFrame, boxes: DataFrame, margin: tuple[int, int, int
     """Voxels inside each region's box plus margin, re-based to the box; ``inside`` tells the region itself.
 
     Coordinates below zero do not exist and a margin beyond the far side finds no voxels, so the clamp is implicit.
+    Boxes and voxels meet on (case, tile): a voxel sees only boxes that touch its tile, and a large case is spread.
     """
     wide = boxes.selectExpr(
         "case_id", "label_id as region",
         *[f"greatest(0, {a}0 - {m}) as {a}0" for a, m in zip(AXES, margin)],
         *[f"{a}1 + {m} as {a}1" for a, m in zip(AXES, margin)],
     )
+    for axis, key, size in zip(AXES, TILE_KEYS, TILE_SIZE):
+        wide = wide.selectExpr("*", f"explode(sequence(cast({axis}0 div {size} as int), cast(({axis}1 - 1) div {size} as int))) as {key}")
+    placed = voxels.selectExpr("*", *[f"cast({tile_index(a, s)} as int) as {k}" for a, s, k in zip(AXES, TILE_SIZE, TILE_KEYS)])
     hit = " and ".join(f"{a} >= {a}0 and {a} < {a}1" for a in AXES)
-    rows = voxels.join(wide, "case_id").where(hit)
+    rows = placed.join(wide, ["case_id", *TILE_KEYS]).where(hit)
     return rows.selectExpr(
         "case_id", "region as label_id", *[f"{a} - {a}0 as {a}" for a in AXES], "intensity",
         "int(label_id = region) as inside",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.ranking import percentiles
+from voxelframe.functions.single import one_row
 
 FLAT = 1e-8  # ranges below this count as flat
 
@@ -45,8 +46,8 @@ def intensity_stats(voxels: DataFrame, clip_range: tuple[float, float]) -> DataF
 def zscore_plan(voxels: DataFrame, plan_stats: DataFrame, clip_range: tuple[float, float]) -> DataFrame:
     """Clip and normalise all cases with the one-row statistics of the plan (CT)."""
     value = clip(F.col("intensity"), *clip_range)
-    rows = voxels.join(F.broadcast(plan_stats.limit(1)))  # one row by construction
-    return rows.withColumn("intensity", _scaled(value)).drop("mean", "std")
+    rows = voxels.withColumn("plan", one_row(plan_stats.select("mean", "std")))
+    return rows.withColumn("intensity", (value - F.col("plan.mean")) / F.col("plan.std")).drop("plan")
 
 
 def minmax01(voxels: DataFrame, keys: list[str], value: str = "intensity", out: str = "unit") -> DataFrame:

@@ -193,5 +193,5 @@ def align(rows: DataFrame, order: DataFrame) -> DataFrame:
     """Values in a model's feature order (position, feature); a feature the data lacks becomes NULL."""
     samples = rows.select("sample_id").distinct()
     wanted = order.agg(F.expr("collect_list(struct(position, feature)) as wanted"))  # as many entries as the model has features
-    grid = samples.join(F.broadcast(wanted)).selectExpr("sample_id", "inline(wanted)")
+    grid = samples.withColumn("wanted", wanted.scalar()).selectExpr("sample_id", "inline(wanted)")
     return grid.join(rows.select("sample_id", "feature", "value"), ["sample_id", "feature"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.ranking import running_before
+from voxelframe.functions.single import one_row
 
 EPOCHS_PER_PART = 256
 
@@ -21,7 +22,7 @@ def fold_summary(metrics: DataFrame) -> DataFrame:
 def attention_mean(weights: DataFrame, n_folds: DataFrame) -> DataFrame:
     """Weight per label summed over folds and divided by the number of all folds (one-row ``n_folds``)."""
     sums = weights.groupBy("label").agg(F.sum("weight").alias("total"))
-    return sums.join(F.broadcast(n_folds)).selectExpr("label", "total / n_folds as weight")
+    return sums.withColumn("n_folds", one_row(n_folds)["n_folds"]).selectExpr("label", "total / n_folds as weight")
 
 
 def importance_summary(importances: DataFrame) -> DataFrame:

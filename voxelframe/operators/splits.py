@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.functions.ranking import hashed_position, percentiles, value_ranks
 from voxelframe.functions.scalar import uniform
+from voxelframe.functions.single import one_row
 
 
 def class_shift(values: DataFrame, num_classes: int) -> DataFrame:
@@ -18,7 +19,7 @@ def class_shift(values: DataFrame, num_classes: int) -> DataFrame:
 
 def canonical_class(values: DataFrame, shift: DataFrame, num_classes: int) -> DataFrame:
     """Subtract the shift where the result is a class; other values stay as they are."""
-    rows = values.join(F.broadcast(shift.limit(1)))  # one row by construction
+    rows = values.withColumn("shift", one_row(shift)["shift"])
     moved = f"if(int(value) - shift between 0 and {num_classes - 1}, double(int(value) - shift), value)"
     return rows.withColumn("value", F.expr(moved)).drop("shift")
 
@@ -34,9 +35,9 @@ def strat_value(targets: DataFrame, cases: DataFrame, binary: bool) -> DataFrame
 
 def quartile_bin(rows: DataFrame, value: str = "value") -> DataFrame:
     """Number of quartiles strictly below the value (0-3)."""
-    cuts = percentiles(rows, [], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})  # one row
-    return rows.join(F.broadcast(cuts)).selectExpr(
-        *rows.columns, f"int({value} > q25) + int({value} > q50) + int({value} > q75) as stratum"
+    cuts = percentiles(rows, [], value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return rows.withColumn("cut", one_row(cuts)).selectExpr(
+        *rows.columns, f"int({value} > cut.q25) + int({value} > cut.q50) + int({value} > cut.q75) as stratum"
     )
 
 
@@ -117,7 +118,7 @@ def weighted_sample(samples: DataFrame, draws: DataFrame, ident: str = "sample_i
     counts = samples.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
     packed = counts.agg(F.expr(f"array_sort(collect_list(struct({label}, n_class))) as classes"))  # one entry per class
     first, second = uniform(f"concat('{seed}:class:', draw)"), uniform(f"concat('{seed}:place:', draw)")
-    drawn = draws.join(F.broadcast(packed)).selectExpr("draw", f"classes[int(floor(({first}) * size(classes)))] as c", f"{second} as u")
+    drawn = draws.withColumn("classes", packed.scalar()).selectExpr("draw", f"classes[int(floor(({first}) * size(classes)))] as c", f"{second} as u")
     drawn = drawn.selectExpr("draw", f"c.{label} as {label}", "cast(floor(u * c.n_class) as bigint) as position")
     placed = hashed_position(samples, [label], ident, seed).select(label, "position", ident)
     return drawn.join(placed, [label, "position"]).select("draw", ident, label)
@@ -139,11 +140,11 @@ def limit_cases(cases: DataFrame, count: int, seed: int = 42) -> DataFrame:
 def even_pick(samples: DataFrame, count: int, ident: str = "sample_id") -> DataFrame:
     """``count`` rows spread evenly over the ordered samples, both ends included."""
     ranked = value_ranks(samples.select(ident), [], ident).selectExpr(ident, "cast(rank as bigint) - 1 as place")
-    total = samples.agg(F.count(F.lit(1)).alias("n"))  # one row
+    total = samples.agg(F.count(F.lit(1)).alias("n"))
     last = max(count - 1, 1)
     spots = f"if(n <= {count}, sequence(0L, n - 1), array_distinct(transform(sequence(0, {count - 1}), i -> cast(floor(i * ((n - 1) / {float(last)}D)) as bigint))))"
     places = total.selectExpr(f"explode({spots}) as place")
-    return ranked.join(F.broadcast(places), "place").select(ident, "place")
+    return ranked.join(F.broadcast(places), "place").select(ident, "place")  # at most ``count`` places
 
 
 def holdout_audit(expected: DataFrame, present: DataFrame) -> DataFrame:

@@ -261,10 +261,10 @@ def score(bundle: Trained, features: DataFrame, settings: Settings) -> DataFrame
     """
     keys = ["fold"]
     needed = bundle.chosen.join(bundle.medians, [*keys, "feature"]).join(bundle.scale, [*keys, "feature"])
-    wanted = needed.groupBy("fold").agg(F.expr("collect_list(struct(feature, place, median, mean, std)) as wanted"))
+    wanted = needed.agg(F.expr("collect_list(struct(fold, feature, place, median, mean, std)) as wanted"))  # folds x chosen features
     target = ["y"] if "y" in features.columns else []
     samples = features.select("sample_id", *target).distinct()
-    every = samples.join(F.broadcast(wanted)).selectExpr("sample_id", *target, "fold", "inline(wanted)")  # a row per fold
+    every = samples.withColumn("wanted", wanted.scalar()).selectExpr("sample_id", *target, "inline(wanted)")
     filled = every.join(features.select("sample_id", "feature", "value"), ["sample_id", "feature"], "left")
     scaled = filled.selectExpr("fold", "sample_id", *target, "place", "(coalesce(value, median) - mean) / std as value")
     packed = scaled.groupBy("fold", "sample_id", *target).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.ranking import percentiles
+from voxelframe.functions.single import one_row
 from voxelframe.operators.geometry import label_bbox, next_multiple, resample_nearest
 from voxelframe.operators.intensity import intensity_stats
 from voxelframe.operators.tiles import AXES
@@ -72,10 +73,11 @@ def make_plan(volumes: DataFrame, labels: DataFrame, dataset: str, modality: str
         F.expr("transform(array_sort(collect_list(struct(axis, p50, p95))), c -> c.p95) as p95"),
     ).agg(F.expr("map_from_entries(collect_list(struct(label_id, struct(p50, p95)))) as bbox_percentiles"))
     crop = crop_size(resampled).selectExpr("array(z, y, x) as crop_size")
-    out = coverage.join(F.broadcast(cuts)).join(F.broadcast(crop))  # one row each
+    out = coverage.withColumn("bbox_percentiles", cuts.scalar()).withColumn("crop_size", crop.scalar())
     if modality == "CT":
-        stats = intensity_stats(voxels, clip).withColumnsRenamed({"mean": "intensity_mean", "std": "intensity_std"})
-        out = out.join(F.broadcast(stats)).withColumn("intensity_clip", F.array(F.lit(clip[0]), F.lit(clip[1])))
+        out = out.withColumn("stats", one_row(intensity_stats(voxels, clip))).selectExpr(
+            "*", "stats.mean as intensity_mean", "stats.std as intensity_std", f"array({clip[0]!r}D, {clip[1]!r}D) as intensity_clip"
+        )
     else:
         out = out.selectExpr(
             "*", "cast(null as double) as intensity_mean", "cast(null as double) as intensity_std", "cast(null as array<double>) as intensity_clip"
