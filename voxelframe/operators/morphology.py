@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.operators.tiles import AXES, CUBE_27, TILE_KEYS, TILE_SIZE, into_tiles, neighbour_pairs, offsets_array, owned
+from voxelframe.session import cut_lineage
 
 GRID = ["sz", "sy", "sx"]
 IN_GRID = " and ".join(f"{a} >= 0 and {a} < s{a}" for a in AXES)
@@ -62,6 +63,7 @@ def perturb(mask: DataFrame, keys: list[str], repeats: int, seed: int = 42) -> D
         "*", f"if(repeat = 0, -1, {draw(tag, 5)}) as mode",
         *[f"cast({draw(f'concat({tag}, {chr(39)}:{a}{chr(39)})', 3)} as int) - 1 as d{a}" for a in AXES],
     )
+    copies = cut_lineage(copies, ("mode",))  # every change below reads its own part only
     groups = [*keys, "repeat"]
     changed = [
         dilate(copies.where("mode = 0"), groups), erode(copies.where("mode = 1"), groups),
