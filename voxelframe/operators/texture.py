@@ -74,42 +74,42 @@ def firstorder(regions: DataFrame, keys: list[str], voxel_volume: float = 1.0) -
 
 # ---------------------------------------------------------------- co-occurrence
 def glcm_matrix(regions: DataFrame, keys: list[str]) -> DataFrame:
-    """Symmetric co-occurrence probabilities: keys, n_levels, direction, i, j, p."""
+    """Symmetric co-occurrence probabilities: keys, n_levels, direction, mean level mu, i, j, p."""
     groups = [*keys, "n_levels"]
     pairs = neighbour_pairs(regions, groups, "level", HALF_13)
     counts = pairs.groupBy(
         *groups, F.expr(DIRECTION), F.expr("least(level, n_level) as lo"), F.expr("greatest(level, n_level) as hi")
     ).agg(F.expr("count(1) as n"))
     groups = [*groups, "direction"]
-    counts = counts.repartition(*groups).selectExpr("*", f"sum(n) over (partition by {', '.join(groups)}) as total")
+    per = f"over (partition by {', '.join(groups)})"
+    counts = counts.repartition(*groups).selectExpr("*", f"sum(n) {per} as total", f"sum(n * (lo + hi)) {per} as weight")
     cell = "named_struct('i', {}, 'j', {}, 'p', {} / (2.0D * total))"
     once = f"array({cell.format('lo', 'hi', '2 * n')})"
     both = f"array({cell.format('lo', 'hi', 'n')}, {cell.format('hi', 'lo', 'n')})"
-    return counts.selectExpr(*groups, f"inline(if(lo = hi, {once}, {both}))")
-
-
-# The matrix is symmetric: both marginals agree, and HXY1 = HXY2 = 2 HX.
-GLCM_SUMS = {
-    "Autocorrelation": "sum(i * j * p)",
-    "JointAverage": "sum(i * p)",
-    "ClusterProminence": "sum(power(i + j - 2 * mu, 4) * p)",
-    "ClusterShade": "sum(power(i + j - 2 * mu, 3) * p)",
-    "ClusterTendency": "sum(power(i + j - 2 * mu, 2) * p)",
-    "Contrast": "sum(gap * gap * p)",
-    "DifferenceAverage": "sum(gap * p)",
-    "DifferenceEntropy": "-sum(p * log2(pgap))",
+    return counts.selectExpr(*groups, "weight / (2.0D * total) as mu", f"inline(if(lo = hi, {once}, {both}))")
+
+
+# Sums over rows of four kinds: joint cells (a = i, b = j), and the marginals over i, i + j and |i - j|.
+# The matrix is symmetric: both level marginals agree, and HXY1 = HXY2 = 2 HX.
+GLCM_JOINT = {
+    "Autocorrelation": "sum(a * b * p)",
+    "JointAverage": "sum(a * p)",
+    "ClusterProminence": "sum(power(a + b - 2 * mu, 4) * p)",
+    "ClusterShade": "sum(power(a + b - 2 * mu, 3) * p)",
+    "ClusterTendency": "sum(power(a + b - 2 * mu, 2) * p)",
+    "Contrast": "sum((a - b) * (a - b) * p)",
+    "DifferenceAverage": "sum(abs(a - b) * p)",
     "JointEnergy": "sum(p * p)",
-    "JointEntropy": "-sum(p * log2(p))",
-    "hx": "-sum(p * log2(px))",
-    "Id": "sum(p / (1 + gap))",
-    "Idm": "sum(p / (1 + gap * gap))",
-    "Idn": "sum(p / (1 + gap / n_levels))",
-    "Idmn": "sum(p / (1 + gap * gap / (n_levels * n_levels)))",
-    "InverseVariance": "coalesce(sum(if(gap > 0, p / (gap * gap), null)), 0D)",
+    "JointEntropy": "sum(-p * log2(p))",
+    "Id": "sum(p / (1 + abs(a - b)))",
+    "Idm": "sum(p / (1 + (a - b) * (a - b)))",
+    "Idn": "sum(p / (1 + abs(a - b) / n_levels))",
+    "Idmn": "sum(p / (1 + (a - b) * (a - b) / (n_levels * n_levels)))",
+    "InverseVariance": "sum(if(a <> b, p / ((a - b) * (a - b)), 0D))",
     "MaximumProbability": "max(p)",
-    "SumEntropy": "-sum(p * log2(psum))",
-    "SumSquares": "sum(power(i - mu, 2) * p)",
+    "SumSquares": "sum(power(a - mu, 2) * p)",
 }
+GLCM_MARGINAL = {"hx": 1, "SumEntropy": 2, "DifferenceEntropy": 3}
 GLCM_DERIVED = {
     "DifferenceVariance": "Contrast - power(DifferenceAverage, 2)",
     "SumAverage": "2 * JointAverage",
@@ -120,15 +120,18 @@ GLCM_DERIVED = {
 
 
 def glcm_by_direction(matrix: DataFrame, keys: list[str]) -> DataFrame:
-    """23 co-occurrence features per direction. The marginal sums are windows inside the (region, direction) partition."""
-    groups = [*keys, "n_levels", "direction"]
-    per = f"over (partition by {', '.join(groups)}"
-    wide = matrix.selectExpr("*", "i + j as total", "abs(i - j) as gap").selectExpr(
-        "*",
-        f"sum(p) {per}, i) as px", f"sum(p) {per}, total) as psum", f"sum(p) {per}, gap) as pgap", f"sum(i * p) {per}) as mu",
+    """23 co-occurrence features per direction: marginals and sums are hash aggregates inside the (region, direction) partition."""
+    groups = [*keys, "n_levels", "direction", "mu"]
+    kinds = ", ".join(
+        f"named_struct('kind', {k}, 'a', {a}, 'b', {b}, 'p', p)"
+        for k, (a, b) in enumerate([("i", "j"), ("i", "0"), ("i + j", "0"), ("abs(i - j)", "0")])
     )
-    sums = wide.groupBy(*groups).agg(*[F.expr(f"{e} as {n}") for n, e in GLCM_SUMS.items()])
-    return sums.selectExpr("*", *[f"{e} as {n}" for n, e in GLCM_DERIVED.items()]).drop("hx")
+    cells = matrix.selectExpr(*groups, f"inline(array({kinds}))").groupBy(*groups, "kind", "a", "b").agg(F.expr("sum(p) as p"))
+    sums = cells.groupBy(*groups).agg(
+        *[F.expr(f"{e} filter (where kind = 0) as {n}") for n, e in GLCM_JOINT.items()],
+        *[F.expr(f"sum(-p * log2(p)) filter (where kind = {k}) as {n}") for n, k in GLCM_MARGINAL.items()],
+    )
+    return sums.selectExpr("*", *[f"{e} as {n}" for n, e in GLCM_DERIVED.items()]).drop("hx", "mu")
 
 
 GLCM_FEATURES = [
@@ -174,32 +177,39 @@ def size_features(matrix: DataFrame, groups: list[str], family: str) -> DataFram
     """Emphasis, non-uniformity, variance and entropy features of a (level, size, n) matrix."""
     names = SIZE_NAMES[family]
     small, large, unit, size = names["small"], names["large"], names["unit"], names["size"]
-    per = f"over (partition by {', '.join(groups)}"
-    local = matrix.repartition(*groups).selectExpr(
-        *groups, "n", "cast(level as double) as i", "cast(size as double) as j",
-        f"sum(n) {per}, level) as per_level", f"sum(n) {per}, size) as per_size",
+    kinds = ", ".join(f"named_struct('kind', {k}, 'i', {i}, 'j', {j})" for k, (i, j) in enumerate([("level", "size"), ("level", "0"), ("0", "size")]))
+    local = matrix.repartition(*groups).selectExpr(*groups, "n", f"inline(array({kinds}))")
+    local = local.groupBy(*groups, "kind", F.expr("double(i) as i"), F.expr("double(j) as j")).agg(F.expr("sum(n) as n"))
+    joint = "filter (where kind = 0)"
+    sums = local.groupBy(*groups).agg(
+        *[F.expr(f"{e} {joint} as {n}") for n, e in {
+            "t": "sum(n)", "i1": "sum(n * i)", "i2": "sum(n * i * i)", "j1": "sum(n * j)", "j2": "sum(n * j * j)", "ent": "sum(n * log2(n))",
+            "s": "sum(n / (j * j))", "g": "sum(n / (i * i))", "sg": "sum(n / (i * i * j * j))", "sh": "sum(n * i * i / (j * j))",
+            "lg": "sum(n * j * j / (i * i))", "lh": "sum(n * i * i * j * j)",
+        }.items()],
+        F.expr("sum(double(n) * n) filter (where kind = 1) as levels"), F.expr("sum(double(n) * n) filter (where kind = 2) as sizes"),
     )
     low_high = "" if family == "gldm" else unit
     columns = {
-        f"{small}Emphasis": "sum(n / (j * j)) / sum(n)",
-        f"{large}Emphasis": "sum(n * j * j) / sum(n)",
-        "GrayLevelNonUniformity": "sum(n * per_level) / sum(n)",
-        f"{size}NonUniformity": "sum(n * per_size) / sum(n)",
-        f"{size}NonUniformityNormalized": "sum(n * per_size) / power(sum(n), 2)",
-        "GrayLevelVariance": "sum(n * i * i) / sum(n) - power(sum(n * i) / sum(n), 2)",
-        f"{unit}Variance": "sum(n * j * j) / sum(n) - power(sum(n * j) / sum(n), 2)",
-        f"{unit}Entropy": "log2(sum(n)) - sum(n * log2(n)) / sum(n)",
-        f"LowGrayLevel{low_high}Emphasis": "sum(n / (i * i)) / sum(n)",
-        f"HighGrayLevel{low_high}Emphasis": "sum(n * i * i) / sum(n)",
-        f"{small}LowGrayLevelEmphasis": "sum(n / (i * i * j * j)) / sum(n)",
-        f"{small}HighGrayLevelEmphasis": "sum(n * i * i / (j * j)) / sum(n)",
-        f"{large}LowGrayLevelEmphasis": "sum(n * j * j / (i * i)) / sum(n)",
-        f"{large}HighGrayLevelEmphasis": "sum(n * i * i * j * j) / sum(n)",
+        f"{small}Emphasis": "s / t",
+        f"{large}Emphasis": "j2 / t",
+        "GrayLevelNonUniformity": "levels / t",
+        f"{size}NonUniformity": "sizes / t",
+        f"{size}NonUniformityNormalized": "sizes / (t * t)",
+        "GrayLevelVariance": "i2 / t - power(i1 / t, 2)",
+        f"{unit}Variance": "j2 / t - power(j1 / t, 2)",
+        f"{unit}Entropy": "log2(t) - ent / t",
+        f"LowGrayLevel{low_high}Emphasis": "g / t",
+        f"HighGrayLevel{low_high}Emphasis": "i2 / t",
+        f"{small}LowGrayLevelEmphasis": "sg / t",
+        f"{small}HighGrayLevelEmphasis": "sh / t",
+        f"{large}LowGrayLevelEmphasis": "lg / t",
+        f"{large}HighGrayLevelEmphasis": "lh / t",
     }
     if family != "gldm":
-        columns["GrayLevelNonUniformityNormalized"] = "sum(n * per_level) / power(sum(n), 2)"
-        columns[f"{unit}Percentage"] = "sum(n) / sum(n * j)"
-    return local.groupBy(*groups).agg(*[F.expr(f"{e} as {n}") for n, e in columns.items()])
+        columns["GrayLevelNonUniformityNormalized"] = "levels / (t * t)"
+        columns[f"{unit}Percentage"] = "t / j1"
+    return sums.selectExpr(*groups, *[f"{e} as {n}" for n, e in columns.items()])
 
 
 def _mean_over_directions(each: DataFrame, keys: list[str]) -> DataFrame:

@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "voxelf
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("VOXELFRAME_DRIVER_MEMORY", "8g"))
+        .config("spark.sql.codegen.cache.maxEntries", "4000")  # plans here have many stages; the default of 100 recompiles them
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
