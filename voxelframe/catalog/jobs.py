@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import LEV, REG, VOX, near, near_all, query, rounded
-from voxelframe.catalog.tables import scratch
 from voxelframe.catalog.texture import DEPS, GLCM_AVG, GLCM_SQL, WIDTH, levels, size_sql
 from voxelframe.catalog.volume import BANK, BOX, MASKED, SPACING, SWT, crop_sql, log_sql, masked_volumes
 from voxelframe.operators import augment, geometry, intensity, shape, texture
 from voxelframe.operators.tiles import AXES
 from voxelframe.plans import extraction, maps, planning, preprocess
+from voxelframe.session import new_folder
 from voxelframe.sources import records
 from voxelframe.sources.bindings import REGION, regions, samples, volumes, voxels
 from voxelframe.sources.volumes import crop_rows
@@ -63,7 +63,7 @@ SELECT 1 AS version, 'CT' AS modality, (SELECT median(sz) FROM spc) AS spacing_z
   (SELECT {near(f'avg({CLIPPED})')} FROM vox WHERE label_id > 0) AS intensity_mean, (SELECT {near(f'stddev_pop({CLIPPED})')} FROM vox WHERE label_id > 0) AS intensity_std""")
 def _(spark, folder):
     plan = planning.make_plan(volumes(spark, folder), known_labels(spark), "toy", "CT")
-    target = scratch(spark, "plan")
+    target = new_folder(spark, "plan")
     records.write_plan(plan, target)
     stored = records.read_plan(spark, target)
     return rounded(stored.selectExpr(
@@ -158,7 +158,7 @@ def _(spark, folder):
 
 @query("extract_pending", GLDM_LONG)
 def _(spark, folder):
-    store, rows = scratch(spark, "features-pending"), levels(spark, folder)
+    store, rows = new_folder(spark, "features-pending"), levels(spark, folder)
     extraction.extract_pending(rows.where("case_id % 3 = 0"), store, "aaaa0001", REGION, ("gldm",))
     extraction.extract_pending(rows.where("case_id % 3 = 1"), store, "bbbb0002", REGION, ("gldm",))
     return rounded(extraction.extract_pending(rows, store, "aaaa0001", REGION, ("gldm",)))
@@ -237,7 +237,7 @@ def _(spark, folder):
 
 @query("filter_map_cache")
 def _(spark, folder):
-    store, crops = scratch(spark, "maps"), whole_crops(spark, folder)
+    store, crops = new_folder(spark, "maps"), whole_crops(spark, folder)
     maps.cache_filter_maps(crops.where("case_id % 2 = 0"), store, "cccc0003", 0, sigmas=(1.0,))
     cached = maps.cache_filter_maps(crops, store, "cccc0003", 1, sigmas=(1.0,))
     return cached.selectExpr(*REGION, "variant", "channel", "size(values) as n_values")
@@ -301,7 +301,8 @@ def _(spark, folder):
 
     from voxelframe.sources.volumes import read_volumes, voxels_of
 
-    images, labels = scratch(spark, "images"), scratch(spark, "labels")
+    # The sample files are written by plain file calls, so the shared folder has to be mounted; reading has no such need.
+    images, labels = (new_folder(spark, name).removeprefix("file:") for name in ("images", "labels"))
     os.makedirs(images, exist_ok=True)
     os.makedirs(labels, exist_ok=True)
     write_nifti(volumes(spark, folder), images, labels)
@@ -314,7 +315,7 @@ def _(spark, folder):
     """Crops that arrive in two batches end up in the store once."""
     from voxelframe.streaming.crops import extract_stream
 
-    crops, store, marks = scratch(spark, "stream-crops"), scratch(spark, "stream-store"), scratch(spark, "stream-marks")
+    crops, store, marks = new_folder(spark, "stream-crops"), new_folder(spark, "stream-store"), new_folder(spark, "stream-marks")
     rows = whole_crops(spark, folder)
     for part in (0, 1):
         rows.where(f"case_id % 2 = {part}").write.mode("append").parquet(crops)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import query, rounded
-from voxelframe.catalog.tables import scratch
 from voxelframe.catalog.volume import masked_volumes
 from voxelframe.operators import rollup, splits, training
 from voxelframe.plans import maps
-from voxelframe.session import cut_lineage
+from voxelframe.session import cut_lineage, new_folder
 from voxelframe.sources import bindings
 
 SMALL = dict(trees=10, depth=5, k=8)
@@ -73,7 +72,7 @@ def _(spark, folder):
 def _(spark, folder):
     settings = training.Settings(**SMALL)
     out = trained(spark, folder, settings, 2)
-    path = scratch(spark, "bundle")
+    path = new_folder(spark, "bundle")
     training.save_bundle(out, path)
     loaded = training.load_bundle(spark, path, [m.fold for m in out.models], settings)
     rows = bindings.features(spark, folder).select("sample_id", "feature", "value")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import EPOCHS, MAT, SCORED, near, query, rounded
-from voxelframe.catalog.tables import scratch
 from voxelframe.functions import scalar
 from voxelframe.functions.ranking import average_rank
 from voxelframe.operators import metrics, quality, rollup, selection
-from voxelframe.session import cut_lineage
+from voxelframe.session import cut_lineage, new_folder
 from voxelframe.sources import bindings, records
 from voxelframe.sources.bindings import table
 
@@ -104,7 +103,7 @@ def _(spark, folder):
 
 @query("icc_load", f"WITH {REPEATS} SELECT feature, {near('icc', 5)} AS icc FROM ic WHERE icc IS NOT NULL")
 def _(spark, folder):
-    target = scratch(spark, "icc")
+    target = new_folder(spark, "icc")
     records.write_icc(icc_scores(spark, folder), target)
     return rounded(records.read_icc(spark, f"{target}/icc.csv"), 5)
 
@@ -215,12 +214,11 @@ def _(spark, folder):
     return rounded(quality.top_k(quality.anova_f(imputed(spark, folder).withColumnRenamed("label", "y")), 12), 5)
 
 
-IMPORT = """imp AS (SELECT CAST(c_nationkey AS INTEGER) AS fold, c_mktsegment AS feature, avg(c_acctbal) / 1000 AS importance FROM customer
-  WHERE c_custkey % 7 > 0 GROUP BY ALL)"""
+IMPORT = """imp AS (SELECT CAST(c_nationkey AS INTEGER) AS fold, c_mktsegment AS feature, avg(c_acctbal) / 1000 AS importance FROM customer GROUP BY ALL)"""
 
 
 def importances(spark, folder):
-    rows = table(spark, folder, "customer").where("c_custkey % 7 > 0")
+    rows = table(spark, folder, "customer")
     return rows.groupBy(F.col("c_nationkey").alias("fold"), F.col("c_mktsegment").alias("feature")).agg(F.expr("avg(c_acctbal) / 1000 as importance"))
 
 
@@ -379,17 +377,18 @@ def _(spark, folder):
     return rounded(out)
 
 
-ATT = """tot AS (SELECT user_id, sum(value) AS t FROM events WHERE event_type <> 'view' OR user_id % 2 = 0 GROUP BY ALL),
-am AS (SELECT event_type AS label, sum(value / t) / (SELECT count(DISTINCT user_id) FROM events) AS weight FROM events JOIN tot USING (user_id)
-  WHERE event_type <> 'view' OR user_id % 2 = 0 GROUP BY ALL)"""
+# Weights of event types per user; a type with a share below 0.15 counts as a label the fold lacks.
+ATT = """tot AS (SELECT user_id, sum(value) AS t FROM events GROUP BY ALL),
+aw AS (SELECT user_id, event_type AS label, sum(value / t) AS weight FROM events JOIN tot USING (user_id) GROUP BY ALL),
+am AS (SELECT label, sum(weight) / (SELECT count(DISTINCT user_id) FROM events) AS weight FROM aw WHERE weight >= 0.15 GROUP BY ALL)"""
 
 
 def attention(spark, folder):
-    events = table(spark, folder, "events").where("event_type <> 'view' or user_id % 2 = 0")
+    events = table(spark, folder, "events")
     raw = events.groupBy(F.col("user_id").alias("fold"), F.col("event_type").alias("label")).agg(F.sum("value").alias("v"))
     total = raw.groupBy("fold").agg(F.sum("v").alias("t"))
-    folds = table(spark, folder, "events").agg(F.countDistinct("user_id").alias("n_folds"))
-    return rollup.attention_mean(raw.join(total, "fold").selectExpr("label", "v / t as weight"), folds)
+    folds = events.agg(F.countDistinct("user_id").alias("n_folds"))
+    return rollup.attention_mean(raw.join(total, "fold").selectExpr("label", "v / t as weight").where("weight >= 0.15D"), folds)
 
 
 @query("attention_mean", f"WITH {ATT} SELECT label, {near('weight')} AS weight FROM am")

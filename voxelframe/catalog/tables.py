@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import CASES, MAT, REG, RFEAT, RTAB, RTARGET, VOX, near, query, rounded
 from voxelframe.functions import scalar
 from voxelframe.functions.ranking import percentiles
 from voxelframe.operators import matrix, splits
-from voxelframe.session import shared_folder
+from voxelframe.session import new_folder
 from voxelframe.sources import bindings, dictionary, records
 from voxelframe.sources.bindings import REGION, table
 
 
-def scratch(spark, name):
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    return f"{shared_folder(spark)}/{name}"
-
-
 # ------------------------------------------------------------------ dictionaries and targets
 @query("label_dim", """WITH s AS (SELECT s_nationkey AS dataset, CAST(s_suppkey AS INTEGER) AS label_id,
    CASE WHEN s_suppkey % 13 = 5 THEN 'Background' ELSE s_name END AS label_name FROM supplier),
@@ -211,7 +203,7 @@ def feature_records(spark, folder):
 
 @query("features_current", f"WITH {REC} SELECT case_id, label_id, feature, {near('value', 4)} AS value FROM rec WHERE config_hash = 'aaaa0001'")
 def _(spark, folder):
-    target = scratch(spark, "features")
+    target = new_folder(spark, "features")
     records.write_features(feature_records(spark, folder), target)
     return rounded(records.read_features(spark, target, "aaaa0001"), 4)
 
@@ -361,7 +353,7 @@ def _(spark, folder):
 @query("folds", f"WITH {CASES}, {STRAT_FOLD} SELECT case_id, fold FROM sf")
 def _(spark, folder):
     cases = bindings.cases(spark, folder).selectExpr("case_id", "coalesce(int(source_level), -1) as stratum")
-    prepared, results = scratch(spark, "folds"), scratch(spark, "folds-results")
+    prepared, results = new_folder(spark, "folds"), new_folder(spark, "folds-results")
     splits.kfold(cases, stratum="stratum").write.mode("overwrite").parquet(prepared)
     return records.read_folds(spark, results, prepared)
 

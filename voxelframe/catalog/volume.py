@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import OFF, REG, VOX, near, near_col, query, rounded
 from voxelframe.operators import filters, geometry, intensity, morphology
 from voxelframe.operators.tiles import AXES
-from voxelframe.session import shared_folder
+from voxelframe.session import new_folder
 from voxelframe.sources.bindings import REGION, regions, volumes, voxels
 from voxelframe.sources.volumes import crop_rows, voxels_of
 
@@ -44,7 +42,7 @@ SELECT case_id, label_id, max(z) + 1 AS depth, max(y) + 1 AS height, max(x) + 1
 def _(spark, folder):
     vox = voxels(spark, folder)
     crops = crop_rows(geometry.crop_voxels(vox, geometry.label_bbox(vox)))
-    target = tempfile.mkdtemp(prefix="crops-") if spark.sparkContext.master.startswith("local") else f"{shared_folder(spark)}/crops"
+    target = new_folder(spark, "crops")
     crops.write.mode("overwrite").parquet(target)
     total = "aggregate(image, 0D, (s, v) -> s + v)"
     return spark.read.parquet(target).select(
@@ -176,16 +174,12 @@ def erode_sql(source: str) -> str:
   GROUP BY ALL HAVING count(*) = 27"""
 
 
-# Regions of the sample volumes are too ragged to survive an erosion, so erosion and opening act on their closing hull:
-# the mask of all foreground voxels dilated once.
-HULL = f"{REG}, {OFF}, fg AS (SELECT DISTINCT case_id, 1 AS label_id, z, y, x FROM reg WHERE case_id % 3 > 0 OR label_id = 2), hull AS ({dilate_sql('fg')})"
+# Regions of the sample volumes are too ragged to survive an erosion, so erosion and opening act on dilated masks of label 2.
+HULL = f"{REG}, {OFF}, fg AS (SELECT * FROM reg WHERE label_id = 2), hull AS ({dilate_sql('fg')})"
 
 
 def hull(spark, folder):
-    picked = masks(spark, folder).where("case_id % 3 > 0 or label_id = 2").selectExpr(
-        "case_id", "1 as label_id", *morphology.GRID, *AXES
-    )
-    return morphology.dilate(picked, REGION)
+    return morphology.dilate(masks(spark, folder).where("label_id = 2"), REGION)
 
 
 @query("mask_dilate", f"WITH {REG}, {OFF} {dilate_sql('reg')}")

@@ -57,11 +57,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder nobody has used yet, below the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps start from files that survive any executor.
 
     ``by`` makes partition folders, so a later filter on those columns reads only its part.
     """
-    path = f"{shared_folder(df.sparkSession)}/voxelframe-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "voxelframe")
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
