@@ -354,15 +354,15 @@ def _(spark, folder):
 
 
 # ------------------------------------------------------------------ roll-ups
-DOCS = """concat('{', if(event_id % 10 = 0, '', concat('"model":"', if(event_id % 3 = 0, 'scatter', 'radiomics'), '",')), '"metrics":{"', event_type, '":',
+DOCS = """concat('{', if(event_id % 10 = 0, '', concat('"model":"', if(event_id % 3 = 0, 'bank', 'forest'), '",')), '"metrics":{"', event_type, '":',
   if(event_id % 17 = 0, 'null', string(value)), ',"confusion_matrix":[[1,2],[3,4]],"auc":', (event_id % 100) / 100D, '},"runtime_seconds":', event_id % 60, '}')"""
 SCAN = """sc AS (SELECT CAST(user_id AS INTEGER) AS fold, event_type AS metric, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value FROM events WHERE event_id % 10 = 0 OR event_id % 3 <> 0
   UNION ALL SELECT CAST(user_id AS INTEGER), 'auc', (event_id % 100) / 100.0::DOUBLE FROM events WHERE event_id % 10 = 0 OR event_id % 3 <> 0)"""
 
 
 def scanned(spark, folder):
-    docs = table(spark, folder, "events").selectExpr("concat('results/task/radiomics/fold_', user_id, '/metrics.json') as path", f"{DOCS} as doc")
-    return records.read_fold_metrics(docs, "radiomics")
+    docs = table(spark, folder, "events").selectExpr("concat('results/task/forest/fold_', user_id, '/metrics.json') as path", f"{DOCS} as doc")
+    return records.read_fold_metrics(docs, "forest")
 
 
 @query("fold_metrics_scan", f"WITH {SCAN} SELECT fold, metric, value FROM sc")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from voxelframe.functions.scalar import finite
 from voxelframe.operators import filters, intensity, matrix, quality, shape, texture
 from voxelframe.operators.tiles import AXES
+from voxelframe.session import cut_lineage
 from voxelframe.sources import records
 
 # Extraction settings per modality.
@@ -47,6 +48,8 @@ def region_features(
 
     A region without voxels yields no rows.
     """
+    if len(families) > 1:
+        regions = cut_lineage(regions)  # every family reads it
     typed = "image_type" in regions.columns
     groups = [*keys, "image_type"] if typed else keys
     prefix = F.col("image_type") if typed else "original"
@@ -89,8 +92,6 @@ def reproducibility(perturbed: DataFrame, repeats: int) -> tuple[DataFrame, Data
 
 def intercorrelation(features: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """All feature pairs and the strongly correlated ones, on valid, varying, median-filled features."""
-    from voxelframe.session import cut_lineage
-
     varying = quality.valid_features(features).where("any_value and varies").select("feature")
     rows = features.join(varying, "feature", "left_semi")
     full = cut_lineage(quality.fill_median(rows, quality.medians(rows, []), []))

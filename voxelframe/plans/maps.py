@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.operators import augment, filters, matrix
 from voxelframe.operators.tiles import AXES
+from voxelframe.session import cut_lineage
 
 
 def crop_voxels(crops: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +30,8 @@ def cache_filter_maps(crops: DataFrame, store: str, config_hash: str, variants:
         todo = todo.join(matrix.pending_variants(crops.select("case_id", "label_id"), known, variants), keys, "left_semi")
     except AnalysisException:  # no store yet
         pass
-    rows = crop_voxels(augment.augment_geometry(todo.select(*keys, "shape", "image", "mask")), keys)
+    moved = cut_lineage(augment.augment_geometry(todo.select(*keys, "shape", "image", "mask")))  # read by every filter
+    rows = crop_voxels(moved, keys)
     plain, varied = rows.where("variant = 0"), rows.where("variant > 0")
     changed = augment.augment_intensity(varied, "concat_ws(':', case_id, label_id, variant)").select(*rows.columns)
     channels = filters.filter_bank(plain.unionByName(changed), keys, **bank)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from voxelframe.operators import geometry, intensity, splits
 from voxelframe.operators.tiles import AXES
+from voxelframe.session import cut_lineage
 from voxelframe.sources.volumes import crop_rows, voxels_of
 
 
@@ -14,7 +15,7 @@ def resampled_voxels(volumes: DataFrame, target: tuple[float, float, float]) ->
     grid = voxels_of(volumes, ("shape", "spacing"))
     labels = geometry.resample_nearest(grid.drop("intensity"), target, ["label_id"])
     image = geometry.resample_spline(voxels_of(volumes, ("spacing",)), target)
-    return image.join(labels, ["case_id", *AXES])
+    return cut_lineage(image.join(labels, ["case_id", *AXES]))  # statistics, boxes and crops all read it
 
 
 def preprocess_regions(
