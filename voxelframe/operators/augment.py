@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxelframe.functions.scalar import uniform, variant_seed
+from voxelframe.operators.tiles import partitions
 
 # Strengths of the augmentations.
 SCALE_DELTA, SHIFT_DELTA, NOISE_STD = 0.1, 0.1, 0.05
@@ -114,4 +115,5 @@ def augment_geometry(crops: DataFrame, seed: int = 42) -> DataFrame:
                 batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(values, pa.list_(kind)))
             yield batch
 
-    return seeded.mapInArrow(moved, seeded.schema).drop("seed")
+    spread = seeded.repartition(partitions(crops), "case_id", "label_id", "variant")
+    return spread.mapInArrow(moved, seeded.schema).drop("seed")

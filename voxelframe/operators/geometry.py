@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.operators.tiles import AXES, TILE_KEYS, TILE_SIZE, tile_index
+from voxelframe.operators.tiles import AXES, TILE_KEYS, TILE_SIZE, partitions, tile_index
 
 PAD_MULTIPLE = 8
 SMALLEST_CROP = 32
@@ -122,7 +122,8 @@ def resample_spline(voxels: DataFrame, target: tuple[float, float, float], value
     out = voxels.select("case_id", *AXES, "spacing", F.col(value).cast("double").alias("v"))
     for i, axis in enumerate(AXES):
         rest = [a for a in AXES if a != axis]
-        lines = out.groupBy("case_id", *rest, "spacing").agg(
+        spread = out.repartition(partitions(out), "case_id", *rest, "spacing")  # few bytes, much work
+        lines = spread.groupBy("case_id", *rest, "spacing").agg(
             F.expr(f"transform(array_sort(collect_list(struct({axis}, v))), c -> c.v) as v")
         )
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.ranking import percentiles, value_ranks
+from voxelframe.operators.tiles import partitions
 
 ICC_THRESHOLD = 0.75
 GLOBAL_VARIANCE = 1e-8
@@ -66,7 +67,8 @@ def spearman(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     groups = [*keys, "_set"]
     ranks = value_ranks(rows, [*groups, "feature"], "value").selectExpr(*groups, "feature", "value", "rank - (total + 1) / 2D as rank")
     ranked = rows.join(ranks, [*groups, "feature", "value"])
-    vectors = ranked.groupBy(*groups, "sample_id").agg(F.expr("array_sort(collect_list(struct(feature, rank))) as cells"))
+    spread = ranked.repartition(partitions(rows), *groups, "sample_id")
+    vectors = spread.groupBy(*groups, "sample_id").agg(F.expr("array_sort(collect_list(struct(feature, rank))) as cells"))
     vectors = vectors.selectExpr(*groups, "transform(cells, c -> c.rank) as ranks")
     names = rows.groupBy(*groups).agg(F.array_sort(F.collect_set("feature")).alias("names"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.operators.tiles import AXES
+from voxelframe.operators.tiles import AXES, partitions
 
 CORNERS = list(product((0, 1), repeat=3))  # bit i of a cube configuration is corner i, in z, y, x
 TINY = 1e-6  # eigenvalues below this are zero: lattice regions have none between
@@ -197,7 +197,7 @@ def diameters(regions: DataFrame, keys: list[str]) -> DataFrame:
         columns = [rows[k].slice(0, 1) for k in keys] + [pa.array([v]) for v in values]
         return pa.table(columns, names=[*keys, *names])
 
-    return ends.groupBy(*keys).applyInArrow(measured, schema)
+    return ends.repartition(partitions(ends), *keys).groupBy(*keys).applyInArrow(measured, schema)
 
 
 def shape(regions: DataFrame, keys: list[str]) -> DataFrame:
