@@ -37,10 +37,10 @@ class Model:
         self.languages = languages
         n = len(languages)
         self.words = {w: i for i, w in enumerate(words)}
-        counts = np.array([*words.values()], np.float64).reshape(-1, n)
+        counts = np.array([*words.values()], np.float64).reshape(len(words), n)
         self.word_scores = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * (len(counts) + 1)))
         self.grams = {g: i for i, g in enumerate(grams)}
-        counts = np.array([*grams.values()], np.float64).reshape(-1, n)
+        counts = np.array([*grams.values()], np.float64).reshape(len(grams), n)
         sizes = np.array([len(g) for g in grams], np.int64)
         self.gram_scores = np.zeros_like(counts)
         for size in range(1, LONGEST + 1):

@@ -65,7 +65,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def _nearby(scanned: DataFrame) -> DataFrame:
     """Terms near mentions: doc_id, text_key, entity, term, start, end. ``scanned`` has mentions: array<struct<entity,
     before, from, after, to>>, the text on both sides with the code points at which it starts."""
-    mentions = scanned.select("doc_id", "text_key", "base", F.explode("mentions").alias("m"))
+    mentions = scanned.select("doc_id", "text_key", F.explode("mentions").alias("m"))
     sides = []
     for side, place in (("before", "from"), ("after", "to")):
         text = F.col(f"m.{side}")
@@ -75,10 +75,20 @@ def _nearby(scanned: DataFrame) -> DataFrame:
         inner = (F.col("span.start") > 0) if side == "before" else (F.col("span.end") < F.length(text))
         term = F.lower(F.substring(text, (F.col("span.start") + 1).cast("int"), (F.col("span.end") - F.col("span.start")).cast("int")))
         at = F.col(f"m.{place}")
-        sides.append(terms.where(inner).select("doc_id", "text_key", "base", F.col("m.entity").alias("entity"), term.alias("term"), (at + F.col("span.start")).alias("start"), (at + F.col("span.end")).alias("end")))
-    both = sides[0].unionByName(sides[1])
-    covered = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return both.where(~covered).drop("base")
+        sides.append(terms.where(inner).select("doc_id", "text_key", F.col("m.entity").alias("entity"), term.alias("term"), (at + F.col("span.start")).alias("start"), (at + F.col("span.end")).alias("end")))
+    return sides[0].unionByName(sides[1])
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text between two spaces, with # for every character of the spans (in order of start), so none of them is a term."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(" ").alias("out"))
+
+    def step(state, s):
+        gap = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+        fill = F.repeat(F.lit("#"), F.greatest(s["end"] - F.greatest(s["start"], state["at"]), F.lit(0)).cast("int"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap, fill).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda state: F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)), F.lit(" ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -91,7 +101,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    rows = rows.withColumn("__padded", F.when(F.size("__base") > 0, _blanked(text, F.array_sort("__base"))))
+    padded = F.col("__padded")
 
     def mention(s):
         left = F.greatest(s["start"] - NEAR, F.lit(0).cast("long"))

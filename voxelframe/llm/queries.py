@@ -21,12 +21,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_topk", """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT DISTINCT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
 c AS (SELECT vec_id, v, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM v),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM c AS q JOIN c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+  SELECT q.vec_id AS query_id, o.vec_id AS vec_id, CAST(sum(q.x * o.x) AS BIGINT) AS score
+  FROM c AS q JOIN c AS o ON q.d = o.d AND q.vec_id <> o.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, o.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
