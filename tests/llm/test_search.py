@@ -17,6 +17,18 @@ def brute(rows, k=5, every=50):
     return sorted(out)
 
 
+@pytest.fixture(autouse=True)
+def many_partitions(spark):
+    """Rows that belong together must also meet where partitions are not merged."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
 def run(frame, **more):
     return sorted(map(tuple, topk.top_k(frame, F.col("vec_id") % 50 == 0, **more).collect()))
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from voxelframe.session import cut_lineage
 
-BLOCK = 8192
+BLOCK = 4096
 QUERY_BLOCK = 1024
 STEP = 32
 
@@ -82,10 +82,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK,
     queries = rows.where(is_query)
     blocks = max(1, -(-rows.count() // block))
     query_blocks = max(1, -(-queries.count() // query_block))
-    spread = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
-    spread_q = F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks))
-    left = rows.select("vec_id", "v", "width", spread.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    right = queries.select("vec_id", "v", "width", spread_q.alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # Both sides of a cogroup must have keys of one type: they are hashed, not compared, when rows are dealt out.
+    spread = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("long")
+    spread_q = F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks)).cast("long")
+    left = rows.select("vec_id", "v", "width", spread.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("query_block"))
+    right = queries.select("vec_id", "v", "width", spread_q.alias("query_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     keys = ["block", "query_block", "width"]
 
     def work(here: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
