@@ -195,3 +195,35 @@ def test_train_job(spark, tmp_path):
     assert got["auc"] > 0.9
     new = features.selectExpr("concat(case_id, '__label', label_id) as sample_id", "feature", "value")
     assert jobs.predict(spark, new, str(tmp_path / "out"), [0, 1], settings).count() == 240
+
+
+def test_spearman_of_ragged_features(spark):
+    """Samples that lack a feature do not move the others: b = -a stays at -1 however rows are missing."""
+    generator = np.random.default_rng(4)
+    rows = []
+    for i in range(90):
+        a = float(generator.normal())
+        rows += [(i, "b", -a)] + ([(i, "a", a)] if i % 2 else [(i, "c", float(generator.normal()))])
+    frame = spark.createDataFrame(rows, "sample_id int, feature string, value double")
+    full = quality.complete(frame, [])
+    assert full.count() == 270 and full.where("value is null").count() == 90
+    got = {(r.a, r.b): r.r for r in quality.spearman(frame).collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    both = quality.spearman(full.where("sample_id % 2 = 1 and feature <> 'c'")).first()
+    assert round(both.r, 9) == -1
+
+
+def test_inner_folds_after_oversampling(spark, monkeypatch):
+    """Copies stay in the inner fold of their sample, and the search sees every row once."""
+    rows = [(i, float(i < 10), [float(i % 7), float(i % 3)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "sample_id int, y double, v array<double>")
+    from pyspark.ml.functions import array_to_vector
+
+    train = training.balanced(frame.withColumn("features", array_to_vector("v")).drop("v"), training.Settings(imbalance="random_oversample"))
+    seen = []
+    keep = training.cut_lineage
+    monkeypatch.setattr(training, "cut_lineage", lambda df, *a: seen.append(keep(df, *a)) or seen[-1])
+    training.random_search(train, training.Settings(imbalance="oversample", trees=2, draws=1, inner_folds=3, grid={"maxDepth": [2], "min_leaf": [1], "min_split": [2]}))
+    folds = seen[0]
+    assert folds.count() == train.count()
+    assert folds.groupBy("sample_id").agg({"inner": "max"}).count() == folds.select("sample_id", "inner").distinct().count() == 60

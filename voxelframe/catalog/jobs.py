@@ -159,9 +159,9 @@ def _(spark, folder):
 @query("extract_pending", GLDM_LONG)
 def _(spark, folder):
     store, rows = new_folder(spark, "features-pending"), levels(spark, folder)
-    extraction.extract_pending(rows.where("case_id % 3 = 0"), store, "aaaa0001", REGION, ("gldm",))
+    extraction.extract_pending(rows.where("case_id % 3 = 0"), store, "aaaa0001", REGION, ("gldm",), with_shape=False)
     extraction.extract_pending(rows.where("case_id % 3 = 1"), store, "bbbb0002", REGION, ("gldm",))
-    return rounded(extraction.extract_pending(rows, store, "aaaa0001", REGION, ("gldm",)))
+    return rounded(extraction.extract_pending(rows, store, "aaaa0001", REGION, ("gldm",), with_shape=False))
 
 
 @query("extract_all_families")
@@ -320,6 +320,7 @@ def _(spark, folder):
     for part in (0, 1):
         rows.where(f"case_id % 2 = {part}").write.mode("append").parquet(crops)
         extract_stream(
-            spark, crops, store, marks, "aaaa0001", ("gldm",), lambda r: intensity.discretize_width(r, REGION, WIDTH)
+            spark, crops, store, marks, "aaaa0001", ("gldm",), lambda r: intensity.discretize_width(r, REGION, WIDTH),
+            with_shape=False,
         ).awaitTermination()
     return rounded(records.read_features(spark, store, "aaaa0001"))

@@ -218,12 +218,12 @@ PERTURB = f"""{REG}, {OFF}, cp AS (SELECT case_id, label_id * 10 + rep AS label_
   FROM reg, unnest([0, 1, 2]) t(rep)),
 c0 AS (SELECT * FROM cp WHERE mode = 0), c1 AS (SELECT * FROM cp WHERE mode = 1), c2 AS (SELECT * FROM cp WHERE mode = 2),
 c3 AS (SELECT * FROM cp WHERE mode = 3), e2 AS ({erode_sql('c2')}), d3 AS ({dilate_sql('c3')}),
-made AS ({dilate_sql('c0')} UNION ALL {erode_sql('c1')} UNION ALL {dilate_sql('e2')} UNION ALL {erode_sql('d3')} UNION ALL
+made AS MATERIALIZED ({dilate_sql('c0')} UNION ALL {erode_sql('c1')} UNION ALL {dilate_sql('e2')} UNION ALL {erode_sql('d3')} UNION ALL
   SELECT case_id, label_id, z + mz, y + my, x + mx FROM cp WHERE mode = 4 AND z + mz BETWEEN 0 AND 3 AND y + my BETWEEN 0 AND 3
    AND x + mx BETWEEN 0 AND 3),
 pt AS (SELECT case_id, label_id, z, y, x FROM made UNION ALL
-  SELECT case_id, label_id, z, y, x FROM cp WHERE mode = -1 OR NOT EXISTS (
-    SELECT 1 FROM made m WHERE m.case_id = cp.case_id AND m.label_id = cp.label_id))"""
+  SELECT case_id, label_id, z, y, x FROM cp WHERE mode = -1 UNION ALL
+  SELECT case_id, label_id, z, y, x FROM cp ANTI JOIN (SELECT DISTINCT case_id, label_id FROM made) m USING (case_id, label_id) WHERE mode <> -1)"""
 
 
 @query("perturb_masks", f"""WITH {PERTURB}

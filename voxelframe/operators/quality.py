@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.ranking import percentiles, value_ranks
+from voxelframe.functions.single import one_row
 from voxelframe.operators.tiles import partitions
 
 ICC_THRESHOLD = 0.75
@@ -39,6 +40,21 @@ def fill_median(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(stats, [*keys, "feature"]).withColumn("value", F.coalesce("value", "median")).drop("median")
 
 
+def complete(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add a row without a value for every feature of a group (keys) that a sample of it lacks.
+
+    The other columns must belong to the sample; a feature it has twice is an error.
+    """
+    others = [c for c in rows.columns if c not in ("feature", "value")]
+    cells = rows.groupBy(*others).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_cells"))
+    if keys:
+        cells = cells.join(rows.groupBy(*keys).agg(F.collect_set("feature").alias("_names")), keys)
+    else:
+        cells = cells.withColumn("_names", one_row(rows.agg(F.collect_set("feature").alias("names")))["names"])
+    each = cells.select(*others, "_cells", F.explode("_names").alias("feature"))
+    return each.select(*others, "feature", F.col("_cells")[F.col("feature")].alias("value")).select(*rows.columns)
+
+
 def variance_filter(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(keys, feature) whose population variance exceeds the threshold."""
     spread = rows.groupBy(*keys, "feature").agg(F.var_pop("value").alias("variance"))
@@ -68,9 +84,10 @@ def spearman(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     ranks = value_ranks(rows, [*groups, "feature"], "value").selectExpr(*groups, "feature", "value", "rank - (total + 1) / 2D as rank")
     ranked = rows.join(ranks, [*groups, "feature", "value"])
     spread = ranked.repartition(partitions(rows), *groups, "sample_id")
-    vectors = spread.groupBy(*groups, "sample_id").agg(F.expr("array_sort(collect_list(struct(feature, rank))) as cells"))
-    vectors = vectors.selectExpr(*groups, "transform(cells, c -> c.rank) as ranks")
     names = rows.groupBy(*groups).agg(F.array_sort(F.collect_set("feature")).alias("names"))
+    vectors = spread.groupBy(*groups, "sample_id").agg(F.expr("map_from_entries(collect_list(struct(feature, rank))) as cells"))
+    # A place is a feature, not a position in the sample's own list; a feature the sample lacks stands at the middle rank.
+    vectors = vectors.join(names, groups).selectExpr(*groups, "transform(names, n -> coalesce(cells[n], 0D)) as ranks")
 
     def partial_products(batches):
         for batch in batches:

@@ -14,6 +14,7 @@ DEFAULT_K = 128
 def impute_and_scale(rows: DataFrame) -> DataFrame:
     """Median fill and standardisation with statistics of each fold's own training rows."""
     keys = ["fold"]
+    rows = quality.complete(rows, keys)
     full = quality.fill_median(rows, quality.medians(rows.where("role = 'train'"), keys), keys)
     full = cut_lineage(full)
     return quality.standardize(full, quality.scale_stats(full.where("role = 'train'"), keys), keys)
@@ -34,6 +35,7 @@ def rank_train(
     kept = quality.correlation_prune(varied, quality.spearman(train, keys), correlation, keys)
     train = train.join(kept, [*keys, "feature"], "left_semi")
     scores = quality.f_regression(train, keys) if regression else quality.anova_f(train, keys)
+    scores = scores.withColumn("f", F.round("f", 9))  # sums arrive in any order; ties must not hang on their last bits
     placed = scores.withColumn("place", F.expr("int(row_number() over (partition by fold order by f desc nulls last, feature))"))
     return placed.where(F.col("place") <= k)
 

@@ -254,17 +254,16 @@ def glrlm(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE
     return _mean_over_directions(each, keys)
 
 
-def _tile_zones(case: str, columns: list[str], tile: tuple[int, int, int]):
-    """Per tile: zones of equal (region, level) under 26-connectivity, with the voxels that face another tile."""
+def _tile_zones(keys: list[str], tile: tuple[int, int, int]):
+    """Per tile of one region: zones of equal level under 26-connectivity, with the voxels that face another tile."""
 
     def zones(rows: pa.Table) -> pa.Table:
         at = np.stack([rows[a].to_numpy().astype(np.int64) for a in AXES], axis=1)
         packed = (at[:, 0] << 42) | (at[:, 1] << 21) | at[:, 2]
         corner = at.min(axis=0)
         spot = tuple((at - corner).T)
-        labels = np.stack([rows[c].to_numpy() for c in [*columns, "level"]], axis=1)
         code = np.zeros(at.max(axis=0) - corner + 1, dtype=np.int64)
-        code[spot] = np.unique(labels, axis=0, return_inverse=True)[1].ravel() + 1
+        code[spot] = np.unique(rows["level"].to_numpy(), return_inverse=True)[1].ravel() + 1
         root = np.zeros_like(code)
         root[spot] = packed
         steps = []
@@ -288,7 +287,7 @@ def _tile_zones(case: str, columns: list[str], tile: tuple[int, int, int]):
         by_zone = np.argsort(member[edge], kind="stable")
         ends = np.concatenate([[0], np.cumsum(np.bincount(member[edge], minlength=len(tops)))])
         faces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(packed[edge][by_zone]))
-        out = rows.select([case, *columns, "level"]).take(pa.array(first))
+        out = rows.select([*keys, "level"]).take(pa.array(first))
         for name, values in (("root", pa.array(tops)), ("voxels", pa.array(voxels)), ("faces", faces)):
             out = out.append_column(name, values)
         return out
@@ -299,15 +298,15 @@ def _tile_zones(case: str, columns: list[str], tile: tuple[int, int, int]):
 def size_zones(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE) -> DataFrame:
     """Zone matrix: keys, level, size, n.
 
-    Zones are labelled inside tiles (numpy), then pieces that meet across tile borders are merged as a graph whose
+    Regions are told apart by all keys, so they may overlap, as crops of a case do that each start at 0. Zones are
+    labelled inside tiles (numpy), then pieces that meet across tile borders are merged as a graph whose
     nodes are pieces, not voxels.
     """
-    case, inner = keys[:1], keys[1:]
     schema = regions.select(*keys, "level").schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     ddl += ", root bigint, voxels bigint, faces array<bigint>"
-    placed = into_tiles(regions.select(*keys, *AXES, "level"), case, 0, tile)
-    pieces = placed.groupBy(*case, *TILE_KEYS).applyInArrow(_tile_zones(case[0], inner, tile), ddl)
+    placed = into_tiles(regions.select(*keys, *AXES, "level"), keys, 0, tile)
+    pieces = placed.groupBy(*keys, *TILE_KEYS).applyInArrow(_tile_zones(keys, tile), ddl)
     pieces = cut_lineage(pieces)
     facing = pieces.selectExpr(*keys, "level", "root", "explode(faces) as at").selectExpr(
         *keys, "level", "root", "int(shiftright(at, 42)) as z", "int(shiftright(at, 21) & 2097151) as y",

@@ -28,6 +28,10 @@ GRID = {
 }
 
 
+# Other names a configuration may use.
+IMBALANCE_NAMES = {"balanced": "class_weight", "balanced_subsample": "class_weight", "random_oversample": "oversample", "off": "none"}
+
+
 @dataclass
 class Settings:
     regression: bool = False
@@ -47,6 +51,7 @@ class Settings:
     def __post_init__(self):
         if self.method not in ("univariate", "rf_importance", "rfe", "none", "off", "false"):
             raise ValueError(f"unknown selection method: {self.method}")
+        self.imbalance = IMBALANCE_NAMES.get(self.imbalance, self.imbalance)
         if self.imbalance not in ("class_weight", "oversample", "none"):
             raise ValueError(f"unknown imbalance method: {self.imbalance}")
 
@@ -136,18 +141,20 @@ def _search_score(scored: DataFrame, settings: Settings) -> float | None:
 
 def random_search(train: DataFrame, settings: Settings) -> dict:
     """Best of ``draws`` random parameter sets over inner folds; an empty dict where the data cannot carry a search."""
-    n = train.count()
+    # Copies that oversampling made go where their sample goes: folds are drawn over samples.
+    samples = train.select("sample_id", "y").distinct()
+    n = samples.count()
     inner = settings.inner_folds
     if settings.regression:
         inner = min(inner, n // 4)
     else:
-        sizes = [row["count"] for row in train.groupBy("y").count().collect()]  # one number per class
+        sizes = [row["count"] for row in samples.groupBy("y").count().collect()]  # one number per class
         if len(sizes) < 2 or min(sizes) < 2:
             return {}
         inner = min(inner, min(sizes))
     if n < 8 or inner < 2:
         return {}
-    cases = train.selectExpr("sample_id as case_id", "int(y) as stratum")
+    cases = samples.selectExpr("sample_id as case_id", "int(y) as stratum")
     folds = splits.kfold(cases, inner, settings.seed, None if settings.regression else "stratum").withColumnRenamed("fold", "inner")
     rows = cut_lineage(train.join(folds.withColumnRenamed("case_id", "sample_id"), "sample_id"))
     generator = random.Random(settings.seed)
@@ -198,6 +205,7 @@ def train_folds(rows: DataFrame, settings: Settings, done: set[int] = frozenset(
     Preparation runs once for all folds; a fold that is done already or has an empty side is skipped.
     """
     keys = ["fold"]
+    rows = cut_lineage(quality.complete(rows, keys))
     train = rows.where("role = 'train'")
     medians = cut_lineage(quality.medians(train, keys))
     full = cut_lineage(quality.fill_median(rows, medians, keys))

@@ -48,8 +48,7 @@ def region_features(
 
     A region without voxels yields no rows.
     """
-    if len(families) > 1:
-        regions = cut_lineage(regions)  # every family reads it
+    regions = cut_lineage(regions)  # every family reads it
     typed = "image_type" in regions.columns
     groups = [*keys, "image_type"] if typed else keys
     prefix = F.col("image_type") if typed else "original"
@@ -66,7 +65,8 @@ def region_features(
 
 
 def extract_pending(
-    regions: DataFrame, store: str, config_hash: str, keys: list[str], families: tuple[str, ...], force: bool = False
+    regions: DataFrame, store: str, config_hash: str, keys: list[str], families: tuple[str, ...], force: bool = False,
+    with_shape: bool = True,
 ) -> DataFrame:
     """Compute and append features of regions the store lacks for this configuration; returns the store's current rows."""
     spark = regions.sparkSession
@@ -77,7 +77,7 @@ def extract_pending(
         todo = regions.join(matrix.pending_regions(crops, known, config_hash, force), keys, "left_semi")
     except AnalysisException:  # no store yet
         pass
-    rows = region_features(todo, keys, families, with_shape=False).where("not startswith(feature, 'diagnostics_')")
+    rows = region_features(todo, keys, families, with_shape=with_shape).where("not startswith(feature, 'diagnostics_')")
     rows = rows.selectExpr(*keys, "feature", f"{finite('value')} as value")
     records.write_features(rows.withColumn("config_hash", F.lit(config_hash)), store, replace=force)
     return records.read_features(spark, store, config_hash)
@@ -94,6 +94,7 @@ def intercorrelation(features: DataFrame, threshold: float = 0.9) -> tuple[DataF
     """All feature pairs and the strongly correlated ones, on valid, varying, median-filled features."""
     varying = quality.valid_features(features).where("any_value and varies").select("feature")
     rows = features.join(varying, "feature", "left_semi")
+    rows = quality.complete(rows, [])
     full = cut_lineage(quality.fill_median(rows, quality.medians(rows, []), []))
     pairs = quality.spearman(full)
     return pairs, quality.correlated_pairs(pairs, threshold).orderBy(F.abs("r").desc(), "a", "b")

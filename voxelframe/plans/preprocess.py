@@ -36,7 +36,11 @@ def write_crops(cropped: DataFrame, path: str) -> None:
     crop_rows(cropped).write.mode("overwrite").parquet(path)
 
 
-def preprocess_test(volumes: DataFrame, targets: DataFrame, train_shift: DataFrame, num_classes: int, target: tuple[float, float, float]) -> tuple[DataFrame, DataFrame]:
-    """Test cases with a target only, with the class shift found on the training cases: (crop voxels, targets)."""
+def preprocess_test(
+    volumes: DataFrame, targets: DataFrame, train_shift: DataFrame, num_classes: int, target: tuple[float, float, float],
+    modality: str = "MR", plan_stats: DataFrame | None = None, clip: tuple[float, float] = (-1000.0, 1000.0),
+) -> tuple[DataFrame, DataFrame]:
+    """Test cases with a target only, normalised as the training cases were (CT by the plan) and with the class shift found
+    on them: (crop voxels, targets)."""
     known = volumes.join(targets.select("case_id").distinct(), "case_id", "left_semi")
-    return preprocess_regions(known, target, "MR"), splits.canonical_class(targets, train_shift, num_classes)
+    return preprocess_regions(known, target, modality, plan_stats, clip), splits.canonical_class(targets, train_shift, num_classes)

@@ -21,7 +21,7 @@ def write_features(rows: DataFrame, path: str, replace: bool = False) -> None:
 
     ``replace`` overwrites the folders of the hashes in ``rows`` and leaves the others.
     """
-    parts = rows.repartition("config_hash", F.expr("pmod(xxhash64(case_id), 16)"))
+    parts = rows.hint("rebalance", "config_hash")  # as many writers a configuration as its rows need
     mode = parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") if replace else parts.write.mode("append")
     mode.partitionBy("config_hash").parquet(path)
 

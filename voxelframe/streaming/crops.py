@@ -16,7 +16,7 @@ KEYS = ["case_id", "label_id"]
 
 def extract_stream(
     spark: SparkSession, crops: str, store: str, checkpoint: str, config_hash: str, families: tuple[str, ...],
-    levels: Callable[[DataFrame], DataFrame],
+    levels: Callable[[DataFrame], DataFrame], with_shape: bool = True,
 ) -> StreamingQuery:
     """Process every crop file that is there, then stop. A replayed batch finds its regions stored and adds nothing.
 
@@ -24,7 +24,7 @@ def extract_stream(
     """
     def each(batch: DataFrame, _: int) -> None:
         regions = crop_voxels(batch, KEYS).where("inside = 1")
-        extract_pending(levels(regions), store, config_hash, KEYS, families)
+        extract_pending(levels(regions), store, config_hash, KEYS, families, with_shape=with_shape)
 
     stream = spark.readStream.schema(CROP_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(crops)
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
