@@ -37,10 +37,9 @@ def test_value_ranks_total(frame):
     assert (got["n"] == got["total"]).all()
 
 
-@pytest.mark.parametrize("whole_up_to", [0, 400, 10**6])  # all by cells, one group by cells, none
-def test_percentiles(frame, whole_up_to):
+def test_percentiles(frame):
     probs = {"p00": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "p100": 1.0}
-    got = percentiles(frame[1], ["g"], "v", probs, whole_up_to).toPandas().set_index("g")
+    got = percentiles(frame[1], ["g"], "v", probs).toPandas().set_index("g")
     for g, part in frame[0].groupby("g"):
         for name, p in probs.items():
             assert got.loc[g, name] == pytest.approx(np.quantile(part["v"], p), rel=1e-12)
@@ -66,3 +65,19 @@ def test_running_before(spark):
     for _, part in got.groupby("g"):
         assert part["low"].iloc[1:].tolist() == part["v"].cummin().iloc[:-1].tolist()
         assert part["total"].tolist() == (part["v"].cumsum() - part["v"]).tolist()
+
+
+def test_rows_are_not_dealt_out_by_group_alone(spark):
+    """Without broadcasts, whatever joins raw rows with cells or parts deals them out by cell or part too."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(1000).selectExpr("id % 3 as k", "id", "double(id * 7 % 101) as v")
+        for frame, part in ((value_ranks(rows, ["k"], "v"), "_cell"), (hashed_position(rows, ["k"], "id", 1), "_part")):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+            assert any(part in line for line in dealt)
+            joins = plan.split("SortMergeJoin")[1:]
+            assert joins and all(part in next(line for line in j.splitlines() if "hashpartitioning(" in line) for j in joins)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -10,11 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelframe.session import cut_lineage
-
 CELLS_PER_OCTAVE = 1024
 _EXPONENT_SHIFT = 1100  # above the smallest binary exponent of a double, so codes of positive values are positive
-WHOLE_GROUP = 1_000_000  # rows of a group that one task may hold for an exact percentile
 _ALL = "_all"
 
 
@@ -30,12 +27,16 @@ def _earlier(keys: list[str], order: str) -> str:
 
 
 def _cells(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per (keys, _cell), rows in earlier cells, and rows of the whole group."""
+    """Rows per (keys, _cell), rows in earlier cells, and rows of the whole group.
+
+    The windows leave cells dealt out by the keys alone; dealt out anew by cell, they do not draw the rows they are
+    joined with into one task per group.
+    """
     counts = rows.groupBy(*keys, "_cell").agg(F.expr("count(1) as _cell_n"))
     return counts.selectExpr(
         *keys, "_cell", "_cell_n", f"coalesce(sum(_cell_n) {_earlier(keys, '_cell')}, 0) as _start",
         f"sum(_cell_n) over (partition by {', '.join(keys)}) as total",
-    )
+    ).repartition(*keys, "_cell")
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, sums: dict[str, str] | None = None) -> DataFrame:
@@ -58,30 +59,8 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rank")
     return df.join(ranks, [*keys, value], "left")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], whole_up_to: int = WHOLE_GROUP) -> DataFrame:
-    """Exact linearly interpolated percentiles, one column per entry of ``probs``.
-
-    Groups of at most ``whole_up_to`` rows use the built-in aggregate, which keeps the values of a group in memory.
-    Larger groups, listed in a small stored table, go through cells; that branch exists only if there are any.
-    """
-    rows = df.where(f"{value} is not null").select(*keys, value)
-    if not keys:
-        return cell_percentiles(rows, keys, value, probs)
-    large = cut_lineage(rows.groupBy(*keys).agg(F.expr("count(1) as n")).where(f"n > {whole_up_to}").select(*keys))
-    list_ = ", ".join(f"{float(p)!r}D" for p in probs.values())
-    names = [f"p[{i}] as `{name}`" for i, name in enumerate(probs)]
-
-    def built_in(part: DataFrame) -> DataFrame:
-        return part.groupBy(*keys).agg(F.expr(f"percentile({value}, array({list_})) as p")).selectExpr(*keys, *names)
-
-    if large.isEmpty():
-        return built_in(rows)
-    rest = built_in(rows.join(large, keys, "left_anti"))
-    return rest.unionByName(cell_percentiles(rows.join(large, keys, "left_semi"), keys, value, probs))
-
-
-def cell_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Percentiles of groups of any size.
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated percentiles, one column per entry of ``probs``, for groups of any size.
 
     A histogram over cells finds which cells hold the wanted positions; only rows of those cells are ordered.
     """
@@ -120,7 +99,7 @@ def hashed_position(df: DataFrame, keys: list[str], ident: str, seed: object, ou
     parts = parts.selectExpr(
         *groups, "_part", f"coalesce(sum(_n) {_earlier(groups, '_part')}, 0) as _start",
         f"sum(_n) over (partition by {', '.join(groups)}) as {out}_of",
-    )
+    ).repartition(*groups, "_part")
     inner = f"row_number() over (partition by {', '.join([*groups, '_part'])} order by _md5, {ident})"
     return rows.join(parts, [*groups, "_part"]).selectExpr(*df.columns, f"{out}_of", f"_start + {inner} - 1 as {out}")
 
@@ -134,7 +113,7 @@ def running_before(df: DataFrame, keys: list[str], part: str, order: list[str],
     joined = {"sum": "coalesce({0}, 0) + coalesce({1}, 0)", "min": "least({0}, {1})", "max": "greatest({0}, {1})"}
     parts = df.groupBy(*keys, part).agg(*[F.expr(f"{fn}({sql}) as _p_{name}") for name, (fn, sql) in values.items()])
     per_group = f"over (partition by {', '.join(keys)} order by {part} rows between unbounded preceding and 1 preceding)"
-    parts = parts.selectExpr(*keys, part, *[f"{fn}(_p_{name}) {per_group} as _b_{name}" for name, (fn, _) in values.items()])
+    parts = parts.selectExpr(*keys, part, *[f"{fn}(_p_{name}) {per_group} as _b_{name}" for name, (fn, _) in values.items()]).repartition(*keys, part)
     per_part = f"over (partition by {', '.join([*keys, part])} order by {', '.join(order)} rows between unbounded preceding and 1 preceding)"
     return df.join(parts, [*keys, part]).selectExpr(
         *df.columns,
