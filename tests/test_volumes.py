@@ -1,3 +1,5 @@
+import gzip
+
 import numpy as np
 import pytest
 
@@ -5,7 +7,7 @@ from voxelframe.catalog.jobs import nifti_bytes
 from voxelframe.operators import augment, filters, geometry, morphology, shape
 from voxelframe.operators.tiles import AXES
 from voxelframe.plans import jobs, planning
-from voxelframe.sources.volumes import decode_nifti, voxels_of
+from voxelframe.sources.volumes import decode_nifti, file_rows, ingest_violations, read_volumes, voxels_of
 
 KEYS = ["case_id", "label_id"]
 
@@ -138,6 +140,64 @@ def test_nifti_round_trip():
     assert (decoded == values).all() and spacing == (1.0, 0.5, 0.25)
 
 
+def oriented(values, spacing, matrix=None, quaternion=None):
+    """A NIfTI file whose header holds a direction matrix or a quaternion."""
+    raw = bytearray(gzip.decompress(nifti_bytes(values, spacing)))
+    if matrix is not None:
+        raw[254:256] = np.array([1], "<i2").tobytes()
+        raw[280:328] = np.array(np.hstack([matrix, np.zeros((3, 1))]), "<f4").tobytes()
+    if quaternion is not None:
+        raw[252:254] = np.array([1], "<i2").tobytes()
+        raw[256:268] = np.array(quaternion, "<f4").tobytes()
+    return gzip.compress(bytes(raw))
+
+
+@pytest.mark.parametrize("axes", [(0, 1, 2), (2, 0, 1), (1, 0, 2)])
+@pytest.mark.parametrize("signs", [(1, 1, 1), (-1, 1, 1), (1, -1, -1)])
+def test_files_are_turned_to_right_front_up(axes, signs):
+    """Voxel axis i of the file runs along world axis axes[i] with signs[i]; a slight tilt changes nothing."""
+    world = np.arange(24, dtype=np.float32).reshape(2, 3, 4)  # right, front, up
+    steps = (0.5, 0.75, 2.0)
+    stored = world.transpose(axes)[tuple(slice(None, None, s) for s in signs)]
+    matrix = np.zeros((3, 3))
+    for i, (axis, sign) in enumerate(zip(axes, signs)):
+        matrix[axis, i] = sign * steps[axis]
+    tilt = np.array([[1, -0.1, 0], [0.1, 1, 0], [0, 0, 1]])
+    content = oriented(np.ascontiguousarray(stored.transpose(2, 1, 0)), [steps[a] for a in axes[::-1]], tilt @ matrix)
+    decoded, spacing = decode_nifti(content)
+    assert (decoded.transpose(2, 1, 0) == world).all() and spacing == steps[::-1]
+
+
+def test_half_turn_by_quaternion():
+    values = np.arange(24, dtype=np.float32).reshape(2, 3, 4)
+    decoded, _ = decode_nifti(oriented(values, (1.0, 1.0, 1.0), quaternion=(0, 0, 1)))  # about the vertical axis
+    assert (decoded == values[:, ::-1, ::-1]).all()
+
+
+def test_unequal_grids_fail_or_are_reported(spark, tmp_path):
+    (tmp_path / "images").mkdir(), (tmp_path / "labels").mkdir()
+    for case, depth in (("a", 2), ("b", 1)):
+        (tmp_path / "images" / f"{case}_0000.nii.gz").write_bytes(nifti_bytes(np.zeros((2, 3, 4), np.float32), (1, 1, 1)))
+        (tmp_path / "labels" / f"{case}.nii.gz").write_bytes(nifti_bytes(np.zeros((depth, 3, 4), np.int16), (1, 1, 1)))
+    folders = f"file:{tmp_path}/images", f"file:{tmp_path}/labels"
+    with pytest.raises(Exception, match="b: unequal_grids"):
+        read_volumes(spark, *folders).count()
+    assert [r.case_id for r in read_volumes(spark, *folders, strict=False).collect()] == ["a"]
+    found = ingest_violations(file_rows(spark, folders[0], "*_0000.nii*"), file_rows(spark, folders[1], "*.nii*"))
+    assert [tuple(r) for r in found.collect()] == [("b", "unequal_grids")]
+
+
+def test_all_sigmas_in_one_pass_are_those_of_single_passes(spark):
+    values = np.random.default_rng(3).random((5, 6, 7))
+    rows = spark.createDataFrame(
+        [(1, int(z), int(y), int(x), float(v)) for (z, y, x), v in np.ndenumerate(values)], "case_id bigint, z int, y int, x int, intensity double"
+    )
+    together = {(r.channel, r.z, r.y, r.x): r.value for r in filters.log_filters(rows, ["case_id"], (1.0, 2.0)).collect()}
+    for sigma in (1.0, 2.0):
+        for r in filters.log_filter(rows, ["case_id"], sigma).collect():
+            assert together[f"log_{sigma:g}", r.z, r.y, r.x] == pytest.approx(r.value, abs=1e-12)
+
+
 def test_wavelet_energy_and_odd_size(spark):
     line = np.random.default_rng(0).random(8)
     rows = spark.createDataFrame([(1, 0, 0, i, float(v)) for i, v in enumerate(line)], "case_id bigint, z int, y int, x int, intensity double")

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import LEV, REG, VOX, near, near_all, query, rounded
 from voxelframe.catalog.texture import DEPS, GLCM_AVG, GLCM_SQL, WIDTH, levels, size_sql
-from voxelframe.catalog.volume import BANK, BOX, MASKED, SPACING, SWT, crop_sql, log_sql, masked_volumes
+from voxelframe.catalog.volume import BANK, BOX, LOGS, MASKED, SPACING, SWT, crop_sql, masked_volumes
 from voxelframe.operators import augment, geometry, intensity, shape, texture
 from voxelframe.operators.tiles import AXES
 from voxelframe.plans import extraction, maps, planning, preprocess
-from voxelframe.session import new_folder
+from voxelframe.session import cut_lineage, new_folder
 from voxelframe.sources import records
 from voxelframe.sources.bindings import REGION, regions, samples, volumes, voxels
-from voxelframe.sources.volumes import crop_rows
+from voxelframe.sources.volumes import crop_rows, ingest_violations, volumes_of, voxels_of
 
 TARGET = (0.8, 0.8, 0.7)
 
@@ -129,11 +129,12 @@ def _(spark, folder):
 
 
 # ------------------------------------------------------------------ extraction
-IMAGES = f"""{MASKED.replace("CASE WHEN label_id = 2 THEN intensity ELSE 0 END AS intensity", "intensity")}{SWT[len(VOX):]}, {log_sql(1.0, 'vox', 'lg')},
+IMAGES = f"""{MASKED.replace("CASE WHEN label_id > 0 THEN intensity ELSE 0 END AS intensity", "intensity")}{SWT[len(VOX):]}, {LOGS},
 img AS (SELECT i.case_id, i.image_type AS label_id, i.z, i.y, i.x, round(i.v, 8) AS v FROM (
    SELECT case_id, z, y, x, 'original' AS image_type, intensity AS v FROM vox UNION ALL
    SELECT case_id, z, y, x, 'wavelet-' || translate(band, 'ad', 'LH'), value FROM swt UNION ALL
-   SELECT case_id, z, y, x, 'log-sigma-1', value FROM lg) i JOIN vox USING (case_id, z, y, x) WHERE inside = 1),
+   SELECT case_id, z, y, x, 'log-sigma-1', value FROM lg1 UNION ALL SELECT case_id, z, y, x, 'log-sigma-2', value FROM lg2 UNION ALL
+   SELECT case_id, z, y, x, 'log-sigma-3', value FROM lg3) i JOIN vox USING (case_id, z, y, x) WHERE inside = 1),
 ends AS (SELECT case_id, label_id, min(floor(v / 0.05::DOUBLE)) AS lo, max(floor(v / 0.05::DOUBLE)) AS hi FROM img GROUP BY ALL),
 lev AS (SELECT img.*, CAST(floor(v / 0.05::DOUBLE) - lo + 1 AS INTEGER) AS level, CAST(hi - lo + 1 AS INTEGER) AS n_levels FROM img JOIN ends USING (case_id, label_id))"""
 
@@ -141,7 +142,7 @@ lev AS (SELECT img.*, CAST(floor(v / 0.05::DOUBLE) - lo + 1 AS INTEGER) AS level
 @query("features_by_image_type", f"""WITH {IMAGES}{GLCM_SQL[len(LEV):]}, f AS (SELECT case_id, label_id AS image_type, {GLCM_AVG} FROM fd GROUP BY ALL)
 SELECT {near_all(["case_id", "image_type"], texture.GLCM_FEATURES, 5)} FROM f""")
 def _(spark, folder):
-    rows = extraction.image_types(masked_volumes(spark, folder), ["case_id"], sigmas=(1.0,))
+    rows = extraction.image_types(masked_volumes(spark, folder), ["case_id"])
     rows = intensity.discretize_width(rows, ["case_id", "image_type"], WIDTH)
     return rounded(texture.glcm(rows, ["case_id", "image_type"]), 5)
 
@@ -206,7 +207,7 @@ st AS (SELECT case_id, channel, CASE WHEN n < 4 THEN 0 WHEN hi = lo THEN 1 ELSE
 @query("filter_bank_features", f"""WITH {SEQ} SELECT case_id, channel, 'mean' AS stat, {near('avg(v)', 5)} AS value FROM reg2 GROUP BY ALL
 UNION ALL SELECT case_id, channel, stat, {near('value', 5)} FROM (UNPIVOT st ON energy, contrast, homogeneity, correlation INTO NAME stat VALUE value)""")
 def _(spark, folder):
-    return rounded(maps.bank_features(masked_volumes(spark, folder), ["case_id"], sigmas=(1.0,)), 5)
+    return rounded(maps.bank_features(masked_volumes(spark, folder), ["case_id"]), 5)
 
 
 def uni(text: str) -> str:
@@ -238,8 +239,8 @@ def _(spark, folder):
 @query("filter_map_cache")
 def _(spark, folder):
     store, crops = new_folder(spark, "maps"), whole_crops(spark, folder)
-    maps.cache_filter_maps(crops.where("case_id % 2 = 0"), store, "cccc0003", 0, sigmas=(1.0,))
-    cached = maps.cache_filter_maps(crops, store, "cccc0003", 1, sigmas=(1.0,))
+    maps.cache_filter_maps(crops.where("case_id % 2 = 0"), store, "cccc0003", 0)
+    cached = maps.cache_filter_maps(crops, store, "cccc0003", 1)
     return cached.selectExpr(*REGION, "variant", "channel", "size(values) as n_values")
 
 
@@ -277,37 +278,40 @@ def nifti_bytes(values, spacing) -> bytes:
     return gzip.compress(bytes(head) + values.tobytes(), 1)
 
 
-def write_nifti(volumes, images: str, labels: str):
-    """Write image and label files of every case from the tasks; returns the number of cases."""
+def nifti_files(volumes, folder: str):
+    """Image and label files (path, content) of every case, stored by Spark below the shared folder."""
     import numpy as np
     import pandas as pd
 
-    def written(batches):
+    def encoded(batches):
         for batch in batches:
             for row in batch.itertuples():
-                shape = tuple(row.shape)
-                for folder, tail, cells, kind in ((images, "_0000", row.image, "float32"), (labels, "", row.label, "int16")):
-                    with open(f"{folder}/case{row.case_id}{tail}.nii.gz", "wb") as out:
-                        out.write(nifti_bytes(np.asarray(cells, dtype=kind).reshape(shape), row.spacing))
-            yield pd.DataFrame({"cases": [len(batch)]})
+                for tail, cells, kind in (("_0000", row.image, "float32"), ("", row.label, "int16")):
+                    values = np.asarray(cells, dtype=kind).reshape((-1, *row.shape[1:]))
+                    yield pd.DataFrame({"path": [f"{folder}/case{row.case_id}{tail}.nii.gz"], "content": [nifti_bytes(values, row.spacing)]})
 
-    return volumes.mapInPandas(written, "cases long").agg(F.sum("cases")).first()[0]
+    return cut_lineage(volumes.select("case_id", "shape", "spacing", "image", "label").mapInPandas(encoded, "path string, content binary"))
+
+
+IS_IMAGE = "endswith(path, '_0000.nii.gz')"
 
 
 @query("volume_ingest", f"""WITH {VOX}, {SPACING} SELECT 'case' || case_id AS case_id, z, y, x, intensity, label_id, round(sy, 6) AS spacing_y, round(sx, 6) AS spacing_x
 FROM vox JOIN spc USING (case_id)""")
 def _(spark, folder):
-    import os
+    files = nifti_files(volumes(spark, folder), "files")
+    rows = voxels_of(volumes_of(files.where(IS_IMAGE), files.where(f"not {IS_IMAGE}")), ("spacing",))
+    return rows.selectExpr("case_id", *AXES, "intensity", "label_id", "round(spacing[1], 6) as spacing_y", "round(spacing[2], 6) as spacing_x")
 
-    from voxelframe.sources.volumes import read_volumes, voxels_of
 
-    # The sample files are written by plain file calls, so the shared folder has to be mounted; reading has no such need.
-    images, labels = (new_folder(spark, name).removeprefix("file:") for name in ("images", "labels"))
-    os.makedirs(images, exist_ok=True)
-    os.makedirs(labels, exist_ok=True)
-    write_nifti(volumes(spark, folder), images, labels)
-    rows = voxels_of(read_volumes(spark, images, labels), ("spacing",))
-    return rows.selectExpr("case_id", *AXES, "intensity", "label_id", "round(spacing[1], 6) as spacing_y", "round(spacing[2], 6) as spacing_x")
+@query("ingest_violations", """SELECT 'case' || vec_id AS case_id,
+  CASE vec_id % 5 WHEN 0 THEN 'no_label' WHEN 1 THEN 'no_image' ELSE 'unequal_grids' END AS violation FROM embeddings WHERE vec_id % 5 < 3""")
+def _(spark, folder):
+    """Of every five cases one lacks its label file, one its image file, and one has a label without the last slice."""
+    cut = "if(case_id % 5 = 2, slice(label, 1, size(label) - shape[1] * shape[2]), label) as label"
+    files = nifti_files(volumes(spark, folder).selectExpr("case_id", "shape", "spacing", "image", cut), "files")
+    case = "cast(regexp_extract(path, 'case([0-9]+)', 1) as bigint)"
+    return ingest_violations(files.where(f"{IS_IMAGE} and {case} % 5 <> 1"), files.where(f"not {IS_IMAGE} and {case} % 5 <> 0"))
 
 
 @query("extract_stream", GLDM_LONG)

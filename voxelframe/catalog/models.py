@@ -106,7 +106,7 @@ def _(spark, folder):
 def _(spark, folder):
     """Classifier on filter-bank summaries: the same folds, preparation and metrics as the region features."""
     settings = training.Settings(**SMALL)
-    table = maps.bank_features(masked_volumes(spark, folder), ["case_id"], sigmas=(1.0,))
+    table = maps.bank_features(masked_volumes(spark, folder), ["case_id"])
     rows = table.selectExpr("case_id as sample_id", "concat(channel, '_', stat) as feature", "value")
     base = matrix(spark, folder, 2).where("feature = 'f00'").select("fold", "role", "sample_id", "y")
     out = training.train_folds(cut_lineage(base.join(cut_lineage(rows), "sample_id")), settings)

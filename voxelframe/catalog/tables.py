@@ -230,16 +230,15 @@ def _(spark, folder):
     return rounded(matrix.matrix_per_label(bindings.region_features(spark, folder), bindings.region_targets(spark, folder)), 4)
 
 
-PRICES = [f"label{k:03d}_{n}" for k in range(1, 8) for n in ("price", "quantity")]
-PIVOT = ", ".join(f"{near(f'''max(CASE WHEN label_id = {k} THEN {n} END)''', 4)} AS label{k:03d}_{n}" for k in range(1, 8) for n in ("price", "quantity"))
+MEASURES = ("discount", "price", "quantity", "tax")
+PIVOT = ", ".join(f"{near(f'''max(CASE WHEN label_id = {k} THEN {n} END)''', 4)} AS label{k:03d}_{n}" for k in range(1, 8) for n in MEASURES)
 
 
 @query("matrix_per_case", f"""WITH {RTAB}, {CASES}, p AS (SELECT case_id, {PIVOT} FROM rtab GROUP BY ALL)
 SELECT p.*, source_level AS y FROM p JOIN cases USING (case_id) WHERE source_level IS NOT NULL""")
 def _(spark, folder):
     target = bindings.cases(spark, folder).selectExpr("case_id", "source_level as value")
-    rows = bindings.region_features(spark, folder).where("feature in ('price', 'quantity')")
-    return rounded(matrix.matrix_per_case(rows, target, list(range(1, 8)), ["price", "quantity"]), 4)
+    return rounded(matrix.matrix_per_case(bindings.region_features(spark, folder), target, list(range(1, 8)), list(MEASURES)), 4)
 
 
 PLAIN_HOLD = f"""{CASES}, hp AS (SELECT case_id, row_number() OVER (ORDER BY md5('42:' || case_id), case_id) - 1 AS pos, count(*) OVER () AS n FROM cases),

@@ -174,12 +174,12 @@ def erode_sql(source: str) -> str:
   GROUP BY ALL HAVING count(*) = 27"""
 
 
-# Regions of the sample volumes are too ragged to survive an erosion, so erosion and opening act on dilated masks of label 2.
-HULL = f"{REG}, {OFF}, fg AS (SELECT * FROM reg WHERE label_id = 2), hull AS ({dilate_sql('fg')})"
+# Regions of the sample volumes are too ragged to survive an erosion, so erosion and opening act on dilated masks.
+HULL = f"{REG}, {OFF}, hull AS ({dilate_sql('reg')})"
 
 
 def hull(spark, folder):
-    return morphology.dilate(masks(spark, folder).where("label_id = 2"), REGION)
+    return morphology.dilate(masks(spark, folder), REGION)
 
 
 @query("mask_dilate", f"WITH {REG}, {OFF} {dilate_sql('reg')}")
@@ -311,22 +311,24 @@ def _(spark, folder):
     return rounded(filters.gradient_magnitude(voxels(spark, folder), ["case_id"], (1.0, 0.8, 0.8)))
 
 
-# Whole volumes masked by label 2 as the region of every case.
+# Whole volumes masked by their labels as the region of every case.
 MASKED = VOX.replace("vox AS", "vox0 AS", 1) + """, vox AS (SELECT case_id, z, y, x,
-  CASE WHEN label_id = 2 THEN intensity ELSE 0 END AS intensity, CAST(label_id = 2 AS INTEGER) AS inside FROM vox0)"""
-BANK = f"""{MASKED}{SWT[len(VOX):]}, {log_sql(1.0, 'vox', 'lg')}, gr AS ({gradient_sql('vox', steps=('1.0', '1.0', '1.0'))}),
+  CASE WHEN label_id > 0 THEN intensity ELSE 0 END AS intensity, CAST(label_id > 0 AS INTEGER) AS inside FROM vox0)"""
+LOGS = ", ".join(log_sql(float(s), "vox", f"lg{s}") for s in (1, 2, 3))
+BANK = f"""{MASKED}{SWT[len(VOX):]}, {LOGS}, gr AS ({gradient_sql('vox', steps=('1.0', '1.0', '1.0'))}),
 bank AS (SELECT case_id, z, y, x, 'image' AS channel, intensity AS value FROM vox
   UNION ALL SELECT case_id, z, y, x, 'swt_' || band, value FROM swt
-  UNION ALL SELECT case_id, z, y, x, 'log_1', value FROM lg
+  UNION ALL SELECT case_id, z, y, x, 'log_1', value FROM lg1 UNION ALL SELECT case_id, z, y, x, 'log_2', value FROM lg2
+  UNION ALL SELECT case_id, z, y, x, 'log_3', value FROM lg3
   UNION ALL SELECT case_id, z, y, x, 'gradient', value FROM gr)"""
 
 
 def masked_volumes(spark, folder):
-    return voxels(spark, folder).selectExpr("case_id", *AXES, "intensity", "int(label_id = 2) as inside")
+    return voxels(spark, folder).selectExpr("case_id", *AXES, "intensity", "int(label_id > 0) as inside")
 
 
 def bank(spark, folder):
-    return filters.filter_bank(masked_volumes(spark, folder), ["case_id"], sigmas=(1.0,))
+    return filters.filter_bank(masked_volumes(spark, folder), ["case_id"])
 
 
 @query("filter_bank", f"WITH {BANK} SELECT case_id, z, y, x, channel, {near('value')} AS value FROM bank")

@@ -93,13 +93,32 @@ def log_filter(
     voxels: DataFrame, keys: list[str], sigma: float, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), value: str = "intensity"
 ) -> DataFrame:
     """Scale-normalised Laplacian of Gaussian: smoothing along two axes, second derivative along the third, summed."""
-    (gz, hz), (gy, hy), (gx, hx) = [gaussian_taps(sigma, s) for s in spacing]
+    return log_filters(voxels, keys, (sigma,), spacing, value).drop("channel")
+
+
+def log_filters(
+    voxels: DataFrame, keys: list[str], sigmas: tuple[float, ...], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), value: str = "intensity"
+) -> DataFrame:
+    """Laplacian of Gaussian of every sigma: keys, z, y, x, ``channel`` (log_<sigma>), ``value``.
+
+    All sigmas travel together, so voxels are shuffled once per axis.
+    """
+    taps = [[gaussian_taps(sigma, step) for step in spacing] for sigma in sigmas]
     rows = voxels.selectExpr(*keys, *AXES, f"cast({value} as double) as v")
-    rows = along_axis(rows, keys, "z", ["v"], {"g": taps_clamped("v", gz), "h": taps_clamped("v", hz)})
-    curved = f"({taps_clamped('h', gy)} + {taps_clamped('g', hy)})"
-    rows = along_axis(rows, keys, "y", ["g", "h"], {"c": curved, "g": taps_clamped("g", gy)})
-    total = f"{sigma * sigma!r}D * ({taps_clamped('c', gx)} + {taps_clamped('g', hx)})"
-    return along_axis(rows, keys, "x", ["c", "g"], {"value": total})
+    outputs = {}
+    for i, ((g, h), _, _) in enumerate(taps):
+        outputs |= {f"g{i}": taps_clamped("v", g), f"h{i}": taps_clamped("v", h)}
+    rows = along_axis(rows, keys, "z", ["v"], outputs)
+    names, outputs = list(outputs), {}
+    for i, (_, (g, h), _) in enumerate(taps):
+        outputs |= {f"c{i}": f"({taps_clamped(f'h{i}', g)} + {taps_clamped(f'g{i}', h)})", f"g{i}": taps_clamped(f"g{i}", g)}
+    rows = along_axis(rows, keys, "y", names, outputs)
+    names, outputs = list(outputs), {}
+    for i, (sigma, (_, _, (g, h))) in enumerate(zip(sigmas, taps)):
+        outputs[f"v{i}"] = f"{sigma * sigma!r}D * ({taps_clamped(f'c{i}', g)} + {taps_clamped(f'g{i}', h)})"
+    rows = along_axis(rows, keys, "x", names, outputs)
+    pairs = ", ".join(f"'log_{sigma:g}', v{i}" for i, sigma in enumerate(sigmas))
+    return rows.selectExpr(*keys, *AXES, f"stack({len(sigmas)}, {pairs}) as (channel, value)")
 
 
 def gradient_magnitude(
@@ -132,8 +151,8 @@ def filter_bank(
     rows = voxels.selectExpr(*keys, *AXES, f"{image} as intensity")
     parts = [rows.selectExpr(*keys, *AXES, "'image' as channel", "intensity as value")]
     parts.append(swt_bands(rows, keys, levels=levels).withColumnRenamed("band", "channel").selectExpr(*keys, *AXES, "concat('swt_', channel) as channel", "value"))
-    for sigma in sigmas:
-        parts.append(log_filter(rows, keys, sigma, spacing).selectExpr(*keys, *AXES, f"'log_{sigma:g}' as channel", "value"))
+    if sigmas:
+        parts.append(log_filters(rows, keys, sigmas, spacing))
     if gradient:
         parts.append(gradient_magnitude(rows, keys, spacing).selectExpr(*keys, *AXES, "'gradient' as channel", "value"))
     out = parts[0]

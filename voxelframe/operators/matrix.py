@@ -26,6 +26,13 @@ def matrix_per_case(features: DataFrame, targets: DataFrame, labels: list[int],
     return wide.join(targets.where("value is not null").selectExpr("case_id", "value as y"), "case_id")
 
 
+def matrix_per_case_long(features: DataFrame, targets: DataFrame) -> DataFrame:
+    """The same as long rows for training: a feature per label and name; a label that a case lacks has no row."""
+    known = targets.where("value is not null").selectExpr("case_id", "value as y")
+    named = features.selectExpr("case_id", "concat(format_string('label%03d_', label_id), feature) as feature", "value")
+    return named.join(known, "case_id").selectExpr("string(case_id) as sample_id", "case_id", "feature", "value", "y")
+
+
 def matrix_test(features: DataFrame, targets: DataFrame, holdout: DataFrame) -> DataFrame:
     """Per-label matrix of the held-out cases only; both inputs are cut before they are joined."""
     cases = holdout.where("split = 'holdout'").select("case_id")

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.scalar import finite
 from voxelframe.operators import filters, intensity, matrix, quality, shape, texture
 from voxelframe.operators.tiles import AXES
-from voxelframe.session import cut_lineage
+from voxelframe.session import cut_lineage, read_if_there
 from voxelframe.sources import records
 
 # Extraction settings per modality.
@@ -70,13 +69,11 @@ def extract_pending(
 ) -> DataFrame:
     """Compute and append features of regions the store lacks for this configuration; returns the store's current rows."""
     spark = regions.sparkSession
-    todo = regions
-    try:
-        known = spark.read.parquet(store).select(*keys, "config_hash").distinct()
+    todo, stored = regions, read_if_there(spark, store)
+    if stored is not None:
+        known = stored.select(*keys, "config_hash").distinct()
         crops = regions.select(*keys).distinct()
         todo = regions.join(matrix.pending_regions(crops, known, config_hash, force), keys, "left_semi")
-    except AnalysisException:  # no store yet
-        pass
     rows = region_features(todo, keys, families, with_shape=with_shape).where("not startswith(feature, 'diagnostics_')")
     rows = rows.selectExpr(*keys, "feature", f"{finite('value')} as value")
     records.write_features(rows.withColumn("config_hash", F.lit(config_hash)), store, replace=force)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.operators import matrix, rollup, splits, training
+from voxelframe.operators import matrix, quality, rollup, splits, training
 from voxelframe.plans import extraction, planning, preprocess
 from voxelframe.sources import dictionary, records
 
@@ -53,13 +53,16 @@ def intercorrelation(features: DataFrame, path: str, threshold: float = 0.9) ->
 
 
 def train(
-    features: DataFrame, targets: DataFrame, folds: DataFrame, n_folds: int, path: str, settings: training.Settings, num_classes: int = 2
+    features: DataFrame, targets: DataFrame, folds: DataFrame, n_folds: int, path: str, settings: training.Settings, num_classes: int = 2,
+    scope: str = "per_label", icc: DataFrame | None = None,
 ) -> DataFrame:
-    """Per-label training: matrix, global filter, folds, models, metrics and importances under ``path``."""
-    rows = matrix.matrix_per_label(features, targets)
-    from voxelframe.operators.quality import global_filter
+    """Training: matrix, global filter, folds, models, metrics and importances under ``path``.
 
-    kept = global_filter(rows).where("stage = 'kept'").select("feature")
+    ``scope`` is ``per_label`` (a sample per region) or ``per_case`` (a sample per case, targets case_id and value).
+    Features that ``icc`` (feature, icc) calls unstable are left out.
+    """
+    rows = matrix.matrix_per_label(features, targets) if scope == "per_label" else matrix.matrix_per_case_long(features, targets)
+    kept = quality.global_filter(rows, icc).where("stage = 'kept'").select("feature")
     if kept.isEmpty():
         raise ValueError("no feature passed the global filter")
     spread = matrix.fold_roles(rows.join(kept, "feature", "left_semi"), folds, n_folds)

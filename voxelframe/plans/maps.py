@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.operators import augment, filters, matrix
 from voxelframe.operators.tiles import AXES
-from voxelframe.session import cut_lineage
+from voxelframe.session import cut_lineage, read_if_there
 
 
 def crop_voxels(crops: DataFrame, keys: list[str]) -> DataFrame:
@@ -25,11 +24,10 @@ def cache_filter_maps(crops: DataFrame, store: str, config_hash: str, variants:
     keys = ["case_id", "label_id", "variant"]
     spark = crops.sparkSession
     todo = crops.selectExpr("*", f"explode(sequence(0, {variants})) as variant")
-    try:
-        known = spark.read.parquet(store).where(F.col("config_hash") == config_hash).select(*keys).distinct()
+    stored = read_if_there(spark, store)
+    if stored is not None:
+        known = stored.where(F.col("config_hash") == config_hash).select(*keys).distinct()
         todo = todo.join(matrix.pending_variants(crops.select("case_id", "label_id"), known, variants), keys, "left_semi")
-    except AnalysisException:  # no store yet
-        pass
     moved = cut_lineage(augment.augment_geometry(todo.select(*keys, "shape", "image", "mask")))  # read by every filter
     rows = crop_voxels(moved, keys)
     plain, varied = rows.where("variant = 0"), rows.where("variant > 0")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings. The second one lets a join on (case, tile, z, y, x) reuse data that is already
@@ -15,6 +16,7 @@ RUNTIME_CONF = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),  # volumes and crops are rows of many bytes
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -70,3 +72,13 @@ def cut_lineage(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     path = new_folder(df.sparkSession, "voxelframe")
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if there is no such folder or it has no file yet. Other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelframe.functions.scalar import coerce_float
+from voxelframe.session import read_if_there
 
 PLAN_VERSION = 1
 # Keys a stored plan must have.
@@ -48,10 +48,8 @@ def read_record_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_folds(spark: SparkSession, results: str, prepared: str) -> DataFrame:
     """Fold table; a copy among the results wins over the prepared one."""
-    try:
-        return spark.read.parquet(results)
-    except AnalysisException:
-        return spark.read.parquet(prepared)
+    copy = read_if_there(spark, results)
+    return spark.read.parquet(prepared) if copy is None else copy
 
 
 def read_icc(spark: SparkSession, path: str) -> DataFrame:

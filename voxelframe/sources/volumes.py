@@ -36,8 +36,40 @@ def crop_rows(cropped: DataFrame) -> DataFrame:
     )
 
 
+def direction(raw: bytes, order: str) -> np.ndarray:
+    """What one step along voxel axis x, y, z (columns) adds to the right, anterior, superior position (rows).
+
+    The matrix of the header comes first, then its quaternion; a header with neither has its axes in that order.
+    """
+    q_code, s_code = np.frombuffer(raw, f"{order}i2", 2, 252)
+    if s_code > 0:
+        return np.frombuffer(raw, f"{order}f4", 12, 280).reshape(3, 4)[:, :3].astype(float)
+    if q_code <= 0:
+        return np.eye(3)
+    v = np.frombuffer(raw, f"{order}f4", 3, 256).astype(float)
+    w = np.sqrt(max(0.0, 1.0 - v @ v))
+    cross = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    turn = (w * w - v @ v) * np.eye(3) + 2 * np.outer(v, v) + 2 * w * cross
+    return turn * [1, 1, -1 if np.frombuffer(raw, f"{order}f4", 1, 76)[0] < 0 else 1]
+
+
+def axis_code(matrix: np.ndarray) -> tuple[list[int], list[bool]]:
+    """For right, anterior, superior: the voxel axis closest to it, and whether that axis runs the other way."""
+    length = np.linalg.norm(matrix, axis=0)
+    share = np.abs(matrix) / np.where(length > 0, length, 1.0)
+    axes, flips = [0, 0, 0], [False, False, False]
+    for _ in range(3):
+        world, axis = (int(i) for i in np.unravel_index(share.argmax(), share.shape))
+        axes[world], flips[world] = axis, bool(matrix[world, axis] < 0)
+        share[world, :], share[:, axis] = -1.0, -1.0
+    return axes, flips
+
+
 def decode_nifti(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
-    """Array in z, y, x order and spacing in z, y, x of one .nii or .nii.gz file."""
+    """Array and spacing of one .nii or .nii.gz file, both in z, y, x order.
+
+    Axes are permuted and flipped so that x runs to the right, y to the front and z upwards.
+    """
     raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
     order = "<" if int.from_bytes(raw[0:4], "little") == 348 else ">"
     dims = np.frombuffer(raw, f"{order}i2", 8, 40)
@@ -48,15 +80,13 @@ def decode_nifti(content: bytes) -> tuple[np.ndarray, tuple[float, float, float]
     values = np.frombuffer(raw, order + kind, nx * ny * nz, int(start)).reshape(nz, ny, nx)
     if slope not in (0.0, 1.0) or (shift != 0.0 and slope != 0.0):
         values = values * (slope or 1.0) + shift
-    return values, (float(steps[3]), float(steps[2]), float(steps[1]))
-
+    axes, flips = axis_code(direction(raw, order))
+    turned = values.transpose(2, 1, 0).transpose(axes)[tuple(slice(None, None, -1 if f else 1) for f in flips)]
+    return turned.transpose(2, 1, 0), tuple(float(steps[1 + a]) for a in reversed(axes))
 
-def read_volumes(spark: SparkSession, images: str, labels: str) -> DataFrame:
-    """Pair ``<case>_0000.nii.gz`` images with ``<case>.nii.gz`` labels by name; spacing comes from the label header.
 
-    Files are decoded on the executors before the join, one file at a time; pairs with different grids are kept out
-    (see ``shape_mismatch``).
-    """
+def decoded_files(files: DataFrame) -> DataFrame:
+    """case_id, shape, spacing, cells of files (path, content); they are decoded on the executors, one at a time."""
     schema = "case_id string, shape array<int>, spacing array<double>, cells array<double>"
 
     def decoded(batches):
@@ -69,13 +99,38 @@ def read_volumes(spark: SparkSession, images: str, labels: str) -> DataFrame:
                     "cells": [values.astype(float).ravel()],
                 })
 
-    def files(folder: str, pattern: str) -> DataFrame:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
-        return found.mapInPandas(decoded, schema)
+    return files.select("path", "content").mapInPandas(decoded, schema)
 
-    image = files(images, "*_0000.nii*").selectExpr("case_id", "shape", "transform(cells, v -> cast(v as float)) as image")
-    label = files(labels, "*.nii*").selectExpr(
+
+def _paired(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Images and labels side by side with the ``violation`` of the pair, NULL for a good one."""
+    image = decoded_files(images).selectExpr("case_id", "shape", "transform(cells, v -> cast(v as float)) as image")
+    label = decoded_files(labels).selectExpr(
         "case_id", "shape as label_shape", "spacing", "transform(cells, v -> cast(v as smallint)) as label"
     )
-    paired = image.join(label, "case_id").where("shape = label_shape")
-    return paired.select("case_id", "shape", "spacing", "image", "label")
+    return image.join(label, "case_id", "full_outer").selectExpr("*", """case when image is null then 'no_image'
+        when label is null then 'no_label' when shape <> label_shape then 'unequal_grids' end as violation""")
+
+
+def ingest_violations(images: DataFrame, labels: DataFrame) -> DataFrame:
+    """Cases that cannot be ingested: case_id, violation (no_image, no_label, unequal_grids)."""
+    return _paired(images, labels).where("violation is not null").select("case_id", "violation")
+
+
+def volumes_of(images: DataFrame, labels: DataFrame, strict: bool = True) -> DataFrame:
+    """Volume rows of image and label files (path, content), paired by case; spacing comes from the label header.
+
+    A violation fails the job; without ``strict`` its case is left out, to be looked up in ``ingest_violations``.
+    """
+    good = "if(violation is null, true, raise_error(concat(case_id, ': ', violation)))" if strict else "violation is null"
+    return _paired(images, labels).where(good).select("case_id", "shape", "spacing", "image", "label")
+
+
+def file_rows(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path, content of the files of a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+
+
+def read_volumes(spark: SparkSession, images: str, labels: str, strict: bool = True) -> DataFrame:
+    """Pair ``<case>_0000.nii.gz`` images with ``<case>.nii.gz`` labels by name; see ``volumes_of``."""
+    return volumes_of(file_rows(spark, images, "*_0000.nii*"), file_rows(spark, labels, "*.nii*"), strict)
