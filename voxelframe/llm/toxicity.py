@@ -104,10 +104,11 @@ def _vocabulary(rows: DataFrame, categories: list[str]) -> list[str]:
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], limit: int = TRAINING_DOCUMENTS) -> Chain:
     """Fit a chain over ``categories`` (0/1 columns of ``labels``, null where unknown) in the order given.
 
-    ``labels`` has doc_id; rows without a partner in ``docs`` and null ids take no part. At most about ``limit`` labelled
+    ``labels`` has doc_id; rows without a partner in ``docs`` and null ids take no part; of several labels of an id the
+    largest counts, so an id that fills the table is one row. At most about ``limit`` labelled
     rows are used, so the label side of the join has a bound and is broadcast. Without any row, probabilities are null.
     """
-    marked = labels.where("doc_id is not null").select("doc_id", *categories)
+    marked = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     share = limit / max(marked.count(), 1)
     if share < 1:
         marked = marked.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
