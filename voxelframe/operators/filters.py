@@ -23,18 +23,27 @@ COIF1_HIGH = [
 CENTRE_TAP = 2  # our alignment: output k sums tap t times input k + (t - 2) * dilation, wrapped
 
 
-def along_axis(voxels: DataFrame, keys: list[str], axis: str, values: list[str], outputs: dict[str, str]) -> DataFrame:
-    """Filter along one axis. An output is SQL over arrays named like ``values``, position ``k`` and length ``n``."""
+def along_axis(voxels: DataFrame, keys: list[str], axis: str, values: list[str], outputs: dict[str, str], edge: int = 0) -> DataFrame:
+    """Filter along one axis. An output is SQL over arrays named like ``values``, position ``k`` and length ``n``.
+
+    The arrays start and end with ``edge`` more copies of the first and the last value of the line.
+    """
     rest = [a for a in AXES if a != axis]
     packed = f"array_sort(collect_list(struct({', '.join([axis, *values])})))"
     lines = voxels.groupBy(*keys, *rest).agg(F.expr(f"{packed} as line"))
-    lines = lines.selectExpr(*keys, *rest, "size(line) as n", *[f"transform(line, c -> c.{v}) as {v}" for v in values])
+    lines = lines.selectExpr(*keys, *rest, "size(line) as n", *[_with_edges(f"transform(line, c -> c.{v})", v, edge) for v in values])
     cell = ", ".join(f"'{name}', {sql}" for name, sql in outputs.items())
     return lines.selectExpr(
         *keys, *rest, f"inline(transform(sequence(0, n - 1), k -> named_struct('{axis}', k, {cell})))"
     )
 
 
+def _with_edges(line: str, value: str, edge: int) -> str:
+    if not edge:
+        return f"{line} as {value}"
+    return f"concat(array_repeat(line[0].{value}, {edge}), {line}, array_repeat(line[size(line) - 1].{value}, {edge})) as {value}"
+
+
 def taps_wrapped(value: str, taps: list[float], dilation: int) -> str:
     """Periodic filter; an odd length is first extended by wrapping one sample."""
     m = "(n + n % 2)"
@@ -82,10 +91,11 @@ def gaussian_taps(sigma: float, spacing: float) -> tuple[list[float], list[float
     return smooth, [s - mean for s in second]
 
 
-def taps_clamped(value: str, taps: list[float]) -> str:
-    """Filter with edge values repeated outside the line."""
+def taps_clamped(value: str, taps: list[float], edge: int) -> str:
+    """Symmetric filter on a line with ``edge`` repeated values on both sides; equal taps share one product."""
     radius = len(taps) // 2
-    terms = [f"{t!r}D * {value}[least(greatest(k + {i - radius}, 0), n - 1)]" for i, t in enumerate(taps)]
+    terms = [f"{taps[radius]!r}D * {value}[k + {edge}]"]
+    terms += [f"{taps[radius + i]!r}D * ({value}[k + {edge - i}] + {value}[k + {edge + i}])" for i in range(1, radius + 1)]
     return "(" + " + ".join(terms) + ")"
 
 
@@ -104,19 +114,20 @@ def log_filters(
     All sigmas travel together, so voxels are shuffled once per axis.
     """
     taps = [[gaussian_taps(sigma, step) for step in spacing] for sigma in sigmas]
+    ez, ey, ex = (max(len(steps[i][0]) // 2 for steps in taps) for i in range(3))
     rows = voxels.selectExpr(*keys, *AXES, f"cast({value} as double) as v")
     outputs = {}
     for i, ((g, h), _, _) in enumerate(taps):
-        outputs |= {f"g{i}": taps_clamped("v", g), f"h{i}": taps_clamped("v", h)}
-    rows = along_axis(rows, keys, "z", ["v"], outputs)
+        outputs |= {f"g{i}": taps_clamped("v", g, ez), f"h{i}": taps_clamped("v", h, ez)}
+    rows = along_axis(rows, keys, "z", ["v"], outputs, ez)
     names, outputs = list(outputs), {}
     for i, (_, (g, h), _) in enumerate(taps):
-        outputs |= {f"c{i}": f"({taps_clamped(f'h{i}', g)} + {taps_clamped(f'g{i}', h)})", f"g{i}": taps_clamped(f"g{i}", g)}
-    rows = along_axis(rows, keys, "y", names, outputs)
+        outputs |= {f"c{i}": f"({taps_clamped(f'h{i}', g, ey)} + {taps_clamped(f'g{i}', h, ey)})", f"g{i}": taps_clamped(f"g{i}", g, ey)}
+    rows = along_axis(rows, keys, "y", names, outputs, ey)
     names, outputs = list(outputs), {}
     for i, (sigma, (_, _, (g, h))) in enumerate(zip(sigmas, taps)):
-        outputs[f"v{i}"] = f"{sigma * sigma!r}D * ({taps_clamped(f'c{i}', g)} + {taps_clamped(f'g{i}', h)})"
-    rows = along_axis(rows, keys, "x", names, outputs)
+        outputs[f"v{i}"] = f"{sigma * sigma!r}D * ({taps_clamped(f'c{i}', g, ex)} + {taps_clamped(f'g{i}', h, ex)})"
+    rows = along_axis(rows, keys, "x", names, outputs, ex)
     pairs = ", ".join(f"'log_{sigma:g}', v{i}" for i, sigma in enumerate(sigmas))
     return rows.selectExpr(*keys, *AXES, f"stack({len(sigmas)}, {pairs}) as (channel, value)")
 
