@@ -198,6 +198,25 @@ def test_all_sigmas_in_one_pass_are_those_of_single_passes(spark):
             assert together[f"log_{sigma:g}", r.z, r.y, r.x] == pytest.approx(r.value, abs=1e-12)
 
 
+def filtered(spark, line, taps: dict, dilation=1):
+    rows = spark.createDataFrame([(1, 0, 0, i, float(v)) for i, v in enumerate(line)], "case_id bigint, z int, y int, x int, a double")
+    sql = {name: filters.taps_wrapped("a", t, dilation) for name, t in taps.items()}
+    got = {r.x: r for r in filters.along_axis(rows, ["case_id"], "x", ["a"], sql).collect()}
+    return {name: [got[i][name] for i in range(len(line))] for name in taps}
+
+
+def test_wavelet_direction_against_published_values(spark):
+    """A published two-level Haar example, and the impulse response: the taps themselves, in order, from half their number on."""
+    s = 0.5**0.5
+    one = filtered(spark, [3, 7, 1, 3, -2, 6, 4, 6], {"low": [s, s], "high": [-s, s]})
+    assert one["low"] == pytest.approx([7.07106781, 5.65685425, 2.82842712, 0.70710678, 2.82842712, 7.07106781, 7.07106781, 6.36396103])
+    assert one["high"] == pytest.approx([-2.82842712, 4.24264069, -1.41421356, 3.53553391, -5.65685425, 1.41421356, -1.41421356, 2.12132034])
+    assert filtered(spark, one["low"], {"low": [s, s]}, 2)["low"] == pytest.approx([7, 4.5, 4, 5.5, 7, 9.5, 10, 8.5])
+    for dilation in (1, 2):
+        pulse = filtered(spark, [1.0] + [0.0] * 15, {"low": filters.COIF1_LOW}, dilation)["low"]
+        assert [pulse[(t - 3) * dilation % 16] for t in range(6)] == filters.COIF1_LOW
+
+
 def test_wavelet_energy_and_odd_size(spark):
     line = np.random.default_rng(0).random(8)
     rows = spark.createDataFrame([(1, 0, 0, i, float(v)) for i, v in enumerate(line)], "case_id bigint, z int, y int, x int, intensity double")

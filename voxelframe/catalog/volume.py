@@ -257,7 +257,7 @@ def _(spark, folder):
 
 # ------------------------------------------------------------------ filter bank
 def taps_sql(name: str, low: list[float], high: list[float], centre: int) -> str:
-    rows = ", ".join(f"({i - centre}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(zip(low, high)))
+    rows = ", ".join(f"({centre - i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(zip(low, high)))
     return f"{name}(o, lo, hi) AS (VALUES {rows})"
 
 

@@ -20,7 +20,7 @@ COIF1_LOW = [
 COIF1_HIGH = [
     0.0727326195128539, 0.3378976624578092, -0.8525720202122554, 0.38486484686420286, 0.0727326195128539, -0.01565572813546454,
 ]
-CENTRE_TAP = 2  # our alignment: output k sums tap t times input k + (t - 2) * dilation, wrapped
+CENTRE_TAP = len(COIF1_LOW) // 2  # output k sums tap t times input k + (3 - t) * dilation, wrapped
 
 
 def along_axis(voxels: DataFrame, keys: list[str], axis: str, values: list[str], outputs: dict[str, str], edge: int = 0) -> DataFrame:
@@ -45,9 +45,9 @@ def _with_edges(line: str, value: str, edge: int) -> str:
 
 
 def taps_wrapped(value: str, taps: list[float], dilation: int) -> str:
-    """Periodic filter; an odd length is first extended by wrapping one sample."""
-    m = "(n + n % 2)"
-    terms = [f"{t!r}D * {value}[pmod(pmod(k + {(i - CENTRE_TAP) * dilation}, {m}), n)]" for i, t in enumerate(taps)]
+    """Periodic convolution, half the taps to each side; an odd length is first extended by wrapping one sample."""
+    m, centre = "(n + n % 2)", len(taps) // 2
+    terms = [f"{t!r}D * {value}[pmod(pmod(k + {(centre - i) * dilation}, {m}), n)]" for i, t in enumerate(taps)]
     return "(" + " + ".join(terms) + ")"
 
 
