@@ -1,6 +1,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from voxelframe.operators import metrics, quality, rollup, selection, splits, training
@@ -253,3 +254,17 @@ def test_inner_folds_after_oversampling(spark, monkeypatch):
     folds = seen[0]
     assert folds.count() == train.count()
     assert folds.groupBy("sample_id").agg({"inner": "max"}).count() == folds.select("sample_id", "inner").distinct().count() == 60
+
+
+def test_spearman_in_tiles_of_columns_is_the_same(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f, int(i), f"f{k}", float(rng.integers(0, 9))) for f in (0, 1) for i in range(60) for k in range(7)]
+    frame = spark.createDataFrame(rows, "fold int, sample_id long, feature string, value double")
+    whole = {(r.fold, r.a, r.b): r.r for r in quality.spearman(frame, ["fold"]).collect()}
+    tiled = {(r.fold, r.a, r.b): r.r for r in quality.spearman(frame, ["fold"], tile=3).collect()}
+    assert len(whole) == 2 * 21 and tiled == pytest.approx(whole)
+    table = pd.DataFrame(rows, columns=["fold", "sample_id", "feature", "value"])
+    for fold, part in table.groupby("fold"):
+        expected = part.pivot(index="sample_id", columns="feature", values="value").rank().corr()
+        for (f, a, b), r in whole.items():
+            assert f != fold or r == pytest.approx(expected.loc[a, b])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.ranking import percentiles, value_ranks
@@ -35,7 +35,7 @@ def medians(rows: DataFrame, keys: list[str]) -> DataFrame:
 def fill_median(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Replace missing values by the medians in ``stats``; a feature without a median drops out.
 
-    Write the result with ``cut_lineage`` where several statistics follow, or each of them finds the medians again.
+    Write the medians with ``cut_lineage`` where several statistics follow, or each of them finds the medians again.
     """
     return rows.join(stats, [*keys, "feature"]).withColumn("value", F.coalesce("value", "median")).drop("median")
 
@@ -47,14 +47,20 @@ def complete(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     others = [c for c in rows.columns if c not in ("feature", "value")]
     cells = rows.groupBy(*others).agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_cells"))
-    if keys:
-        cells = cells.join(rows.groupBy(*keys).agg(F.collect_set("feature").alias("_names")), keys)
-    else:
-        cells = cells.withColumn("_names", one_row(rows.agg(F.collect_set("feature").alias("names")))["names"])
-    each = cells.select(*others, "_cells", F.explode("_names").alias("feature"))
+    each = cells.select(*others, "_cells", F.explode(_names(rows, keys)).alias("feature"))
     return each.select(*others, "feature", F.col("_cells")[F.col("feature")].alias("value")).select(*rows.columns)
 
 
+def _names(rows: DataFrame, keys: list[str]) -> Column:
+    """Sorted feature names of a row's group (keys), from a one-row table that has an entry per group and feature.
+
+    A join on the keys would gather all samples of a group in one task.
+    """
+    group = F.struct(F.lit(0).alias("_"), *keys)
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("feature")).alias("names")).select(group.alias("group"), "names")
+    return one_row(lists.agg(F.map_from_entries(F.collect_list(F.struct("group", "names"))).alias("all")))["all"][group]
+
+
 def variance_filter(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """(keys, feature) whose population variance exceeds the threshold."""
     spread = rows.groupBy(*keys, "feature").agg(F.var_pop("value").alias("variance"))
@@ -72,42 +78,55 @@ def standardize(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame
     return scaled.withColumn("value", (F.col("value") - F.col("mean")) / F.col("std")).drop("mean", "std")
 
 
-def spearman(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
+def spearman(rows: DataFrame, keys: list[str] = (), tile: int = 1024) -> DataFrame:
     """Rank correlation of every feature pair a < b: keys, a, b, r (0 where undefined).
 
-    Ranks come from value counts; each task adds up the products of its own samples, so only partial sums of
-    features x features travel. Values must be complete (see ``fill_median``).
+    Ranks come from value counts. Columns are cut into tiles, and a sample travels once per pair of tiles; a task adds up
+    the products of all its samples before it emits a pair of tiles, which is what its memory holds. So partial sums of
+    features x features travel, once per task. Values must be complete (see ``fill_median``).
     """
     keys = list(keys)
-    rows = rows.withColumn("_set", F.lit(0))
-    groups = [*keys, "_set"]
-    ranks = value_ranks(rows, [*groups, "feature"], "value").selectExpr(*groups, "feature", "value", "rank - (total + 1) / 2D as rank")
-    ranked = rows.join(ranks, [*groups, "feature", "value"])
-    spread = ranked.repartition(partitions(rows), *groups, "sample_id")
-    names = rows.groupBy(*groups).agg(F.array_sort(F.collect_set("feature")).alias("names"))
-    vectors = spread.groupBy(*groups, "sample_id").agg(F.expr("map_from_entries(collect_list(struct(feature, rank))) as cells"))
+    ranks = value_ranks(rows.withColumn("_set", F.lit(0)), [*keys, "_set", "feature"], "value").selectExpr(*keys, "feature", "value", "rank - (total + 1) / 2D as rank")
+    ranked = rows.join(ranks, [*keys, "feature", "value"])
+    spread = ranked.repartition(partitions(rows), *keys, "sample_id")
+    vectors = spread.groupBy(*keys, "sample_id").agg(F.expr("map_from_entries(collect_list(struct(feature, rank))) as cells"))
     # A place is a feature, not a position in the sample's own list; a feature the sample lacks stands at the middle rank.
-    vectors = vectors.join(names, groups).selectExpr(*groups, "transform(names, n -> coalesce(cells[n], 0D)) as ranks")
+    vectors = vectors.select(*keys, "cells", _names(rows, keys).alias("names")).selectExpr(*keys, "transform(names, n -> coalesce(cells[n], 0D)) as ranks")
+    last = f"int(ceil(size(ranks) / {tile}D)) - 1"
+    tiles = vectors.selectExpr("*", f"explode(sequence(0, {last})) as ti").selectExpr("*", f"explode(sequence(ti, {last})) as tj")
+    tiles = tiles.selectExpr(*keys, "ti", "tj", f"slice(ranks, ti * {tile} + 1, {tile}) as rows", f"slice(ranks, tj * {tile} + 1, {tile}) as cols")
+    tiles = tiles.sortWithinPartitions(*keys, "ti", "tj")
+    groups = [*keys, "ti", "tj"]
+
+    def long(key, sums):
+        i, j = np.nonzero(np.arange(sums.shape[0])[:, None] + key[-2] * tile <= np.arange(sums.shape[1]) + key[-1] * tile)
+        out = pd.DataFrame({"i": i + key[-2] * tile, "j": j + key[-1] * tile, "s": sums[i, j]})
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out
 
     def partial_products(batches):
+        current, sums = None, None
         for batch in batches:
-            for key, part in batch.groupby(groups, sort=False):
-                block = np.stack(part["ranks"].to_numpy())
-                i, j = np.triu_indices(block.shape[1])
-                out = pd.DataFrame({"i": i, "j": j, "s": (block.T @ block)[i, j]})
-                for name, value in zip(groups, key):
-                    out[name] = value
-                yield out
+            for key, part in batch.groupby(groups, sort=False, dropna=False):
+                product = np.stack(part["rows"].to_numpy()).T @ np.stack(part["cols"].to_numpy())
+                if key == current:
+                    sums += product
+                    continue
+                if current is not None:
+                    yield long(current, sums)
+                current, sums = key, product
+        if current is not None:
+            yield long(current, sums)
 
     kinds = dict(rows.dtypes)
-    schema = "i int, j int, s double, " + ", ".join(f"{g} {kinds[g]}" for g in groups)
-    products = vectors.mapInPandas(partial_products, schema).groupBy(*groups, "i", "j").agg(F.sum("s").alias("s"))
-    own = products.where("i = j")
-    sizes = own.groupBy(*groups).agg(F.expr("transform(array_sort(collect_list(struct(i, s))), c -> c.s) as sizes"))
-    pairs = products.where("i < j").join(sizes.join(names, groups), groups)
-    return pairs.selectExpr(
-        *keys, "names[i] as a", "names[j] as b", "if(sizes[i] > 0 and sizes[j] > 0, s / sqrt(sizes[i] * sizes[j]), 0D) as r"
-    )
+    schema = ", ".join(["i int", "j int", "s double", *[f"{k} {kinds[k]}" for k in keys]])
+    products = tiles.mapInPandas(partial_products, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+    products = products.withColumn("names", _names(rows, keys)).selectExpr(*keys, "i", "j", "s", "names[i] as a", "names[j] as b")
+    own = products.where("i = j").selectExpr(*keys, "a", "s as size")
+    pairs = products.where("i < j").join(own.withColumnRenamed("size", "size_a"), [*keys, "a"])
+    pairs = pairs.join(own.withColumnsRenamed({"a": "b", "size": "size_b"}), [*keys, "b"])
+    return pairs.selectExpr(*keys, "a", "b", "if(size_a > 0 and size_b > 0, s / sqrt(size_a * size_b), 0D) as r")
 
 
 def correlated_pairs(pairs: DataFrame, threshold: float) -> DataFrame:

@@ -14,10 +14,9 @@ DEFAULT_K = 128
 def impute_and_scale(rows: DataFrame) -> DataFrame:
     """Median fill and standardisation with statistics of each fold's own training rows."""
     keys = ["fold"]
-    rows = quality.complete(rows, keys)
-    full = quality.fill_median(rows, quality.medians(rows.where("role = 'train'"), keys), keys)
-    full = cut_lineage(full)
-    return quality.standardize(full, quality.scale_stats(full.where("role = 'train'"), keys), keys)
+    rows = cut_lineage(quality.complete(rows, keys))  # the rows are written once; the statistics have a row per fold and feature
+    full = quality.fill_median(rows, cut_lineage(quality.medians(rows.where("role = 'train'"), keys)), keys)
+    return quality.standardize(full, cut_lineage(quality.scale_stats(full.where("role = 'train'"), keys)), keys)
 
 
 def rank_train(
@@ -42,4 +41,4 @@ def rank_train(
 
 def select_per_fold(rows: DataFrame, **options) -> DataFrame:
     """Chosen features of every fold from raw rows; see ``rank_train`` for the options."""
-    return rank_train(cut_lineage(impute_and_scale(rows)), **options)
+    return rank_train(impute_and_scale(rows), **options)

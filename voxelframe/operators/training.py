@@ -208,9 +208,9 @@ def train_folds(rows: DataFrame, settings: Settings, done: set[int] = frozenset(
     rows = cut_lineage(quality.complete(rows, keys))
     train = rows.where("role = 'train'")
     medians = cut_lineage(quality.medians(train, keys))
-    full = cut_lineage(quality.fill_median(rows, medians, keys))
+    full = quality.fill_median(rows, medians, keys)
     scale = cut_lineage(quality.scale_stats(full.where("role = 'train'"), keys))
-    scaled = cut_lineage(quality.standardize(full, scale, keys))
+    scaled = quality.standardize(full, scale, keys)
     chosen = cut_lineage(choose(scaled, settings))
     packed = cut_lineage(vectors(scaled, chosen, ["fold", "role", "sample_id", "y"]))
     sides = {(r["fold"], r["role"]) for r in packed.select("fold", "role").distinct().collect()}  # two per fold
