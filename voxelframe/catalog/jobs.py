@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelframe.catalog.base import LEV, REG, VOX, near, near_all, query, rounded
-from voxelframe.catalog.texture import DEPS, GLCM_AVG, GLCM_SQL, WIDTH, levels, size_sql
+from voxelframe.catalog.base import LEV, ORACLE, REG, VOX, near, near_all, near_col, query, rounded
+from voxelframe.catalog.texture import FIRST, FIRST_SQL, GLCM_AVG, GLCM_SQL, WIDTH, levels
 from voxelframe.catalog.volume import BANK, BOX, LOGS, MASKED, SPACING, SWT, crop_sql, masked_volumes
 from voxelframe.operators import augment, geometry, intensity, shape, texture
 from voxelframe.operators.tiles import AXES
@@ -136,33 +136,53 @@ img AS (SELECT i.case_id, i.image_type AS label_id, i.z, i.y, i.x, round(i.v, 8)
    SELECT case_id, z, y, x, 'log-sigma-1', value FROM lg1 UNION ALL SELECT case_id, z, y, x, 'log-sigma-2', value FROM lg2 UNION ALL
    SELECT case_id, z, y, x, 'log-sigma-3', value FROM lg3) i JOIN vox USING (case_id, z, y, x) WHERE inside = 1),
 ends AS (SELECT case_id, label_id, min(floor(v / 0.05::DOUBLE)) AS lo, max(floor(v / 0.05::DOUBLE)) AS hi FROM img GROUP BY ALL),
-lev AS (SELECT img.*, CAST(floor(v / 0.05::DOUBLE) - lo + 1 AS INTEGER) AS level, CAST(hi - lo + 1 AS INTEGER) AS n_levels FROM img JOIN ends USING (case_id, label_id))"""
+lev AS (SELECT img.*, v AS intensity, CAST(floor(v / 0.05::DOUBLE) - lo + 1 AS INTEGER) AS level, CAST(hi - lo + 1 AS INTEGER) AS n_levels FROM img JOIN ends USING (case_id, label_id))"""
 
 
-@query("features_by_image_type", f"""WITH {IMAGES}{GLCM_SQL[len(LEV):]}, f AS (SELECT case_id, label_id AS image_type, {GLCM_AVG} FROM fd GROUP BY ALL)
-SELECT {near_all(["case_id", "image_type"], texture.GLCM_FEATURES, 5)} FROM f""")
+def families_sql(source: str, key: str, prefix: str, digits: int = 6) -> str:
+    """Long rows of the six texture families, from their own queries over another table of levels (``source``).
+
+    ``digits`` is for the first-order features, which alone see intensities and not levels. The second singular value
+    (MCC) has no SQL and is left to its own query.
+    """
+    parts = []
+    for family in extraction.FAMILIES:
+        own = f"""{FIRST_SQL} SELECT {near_all(["case_id", "label_id"], FIRST, digits)} FROM f""" if family == "firstorder" else ORACLE[family]
+        sql = own.replace("WITH RECURSIVE", "WITH", 1).replace(f"WITH {LEV}", f"WITH RECURSIVE {source}", 1)
+        parts.append(f"""SELECT {key}, {prefix} || '_{family}_' || feature AS feature, value
+  FROM (UNPIVOT ({sql}) ON COLUMNS(* EXCLUDE (case_id, label_id)) INTO NAME feature VALUE value)""")
+    return " UNION ALL ".join(parts)
+
+
+def families(rows, digits=6):
+    """The same rows of a feature table, rounded as in the queries of the families."""
+    value = F.when(F.contains("feature", F.lit("_ngtdm_")), near_col(F.col("value"), 4))
+    value = value.when(F.contains("feature", F.lit("_firstorder_")), near_col(F.col("value"), digits)).otherwise(near_col(F.col("value")))
+    return rows.where("not endswith(feature, '_glcm_MCC')").withColumn("value", value)
+
+
+@query("features_by_image_type", families_sql(IMAGES, "case_id", "label_id", 4))
 def _(spark, folder):
     rows = extraction.image_types(masked_volumes(spark, folder), ["case_id"])
     rows = intensity.discretize_width(rows, ["case_id", "image_type"], WIDTH)
-    return rounded(texture.glcm(rows, ["case_id", "image_type"]), 5)
+    return families(extraction.region_features(rows, ["case_id"], with_shape=False), 4)
 
 
-GLDM_LONG = size_sql(DEPS, "gldm", False)
-GLDM_LONG = f"""SELECT case_id, label_id, 'original_gldm_' || feature AS feature, value FROM (UNPIVOT ({GLDM_LONG})
-  ON COLUMNS(* EXCLUDE (case_id, label_id)) INTO NAME feature VALUE value)"""
+FAMILIES_LONG = families_sql(LEV, "case_id, label_id", "'original'")
+ALL = tuple(extraction.FAMILIES)
 
 
-@query("extract_regions", GLDM_LONG)
+@query("extract_regions", FAMILIES_LONG)
 def _(spark, folder):
-    return rounded(extraction.region_features(levels(spark, folder), REGION, ("gldm",), with_shape=False))
+    return families(extraction.region_features(levels(spark, folder), REGION, with_shape=False))
 
 
-@query("extract_pending", GLDM_LONG)
+@query("extract_pending", FAMILIES_LONG)
 def _(spark, folder):
     store, rows = new_folder(spark, "features-pending"), levels(spark, folder)
-    extraction.extract_pending(rows.where("case_id % 3 = 0"), store, "aaaa0001", REGION, ("gldm",), with_shape=False)
-    extraction.extract_pending(rows.where("case_id % 3 = 1"), store, "bbbb0002", REGION, ("gldm",))
-    return rounded(extraction.extract_pending(rows, store, "aaaa0001", REGION, ("gldm",), with_shape=False))
+    extraction.extract_pending(rows.where("case_id % 3 = 0"), store, "aaaa0001", REGION, ALL)
+    extraction.extract_pending(rows.where("case_id % 3 = 1"), store, "bbbb0002", REGION, ALL)
+    return families(extraction.extract_pending(rows, store, "aaaa0001", REGION, ALL).where("not startswith(feature, 'original_shape_')"))
 
 
 @query("extract_all_families")
@@ -314,7 +334,7 @@ def _(spark, folder):
     return ingest_violations(files.where(f"{IS_IMAGE} and {case} % 5 <> 1"), files.where(f"not {IS_IMAGE} and {case} % 5 <> 0"))
 
 
-@query("extract_stream", GLDM_LONG)
+@query("extract_stream", FAMILIES_LONG)
 def _(spark, folder):
     """Crops that arrive in two batches end up in the store once."""
     from voxelframe.streaming.crops import extract_stream
@@ -324,7 +344,7 @@ def _(spark, folder):
     for part in (0, 1):
         rows.where(f"case_id % 2 = {part}").write.mode("append").parquet(crops)
         extract_stream(
-            spark, crops, store, marks, "aaaa0001", ("gldm",), lambda r: intensity.discretize_width(r, REGION, WIDTH),
+            spark, crops, store, marks, "aaaa0001", ALL, lambda r: intensity.discretize_width(r, REGION, WIDTH),
             with_shape=False,
         ).awaitTermination()
-    return rounded(records.read_features(spark, store, "aaaa0001"))
+    return families(records.read_features(spark, store, "aaaa0001"))

@@ -35,7 +35,7 @@ FIRST = [
 ]
 
 
-@query("firstorder", f"""WITH {LEV}, m AS (
+FIRST_SQL = f"""WITH {LEV}, m AS (
   SELECT case_id, label_id, avg(intensity) AS mu, quantile_cont(intensity, 0.1) AS p10, quantile_cont(intensity, 0.9) AS p90,
          quantile_cont(intensity, 0.25) AS p25, quantile_cont(intensity, 0.75) AS p75, median(intensity) AS med
   FROM lev GROUP BY ALL),
@@ -55,8 +55,10 @@ f AS (SELECT case_id, label_id, e AS "Energy", e AS "TotalEnergy", ent AS "Entro
   mad AS "MeanAbsoluteDeviation", rmad AS "RobustMeanAbsoluteDeviation", sqrt(ms) AS "RootMeanSquared",
   CASE WHEN hi > lo THEN m3 / power(m2, 1.5) ELSE 0 END AS "Skewness", CASE WHEN hi > lo THEN m4 / (m2 * m2) ELSE 0 END AS "Kurtosis",
   m2 AS "Variance", uni AS "Uniformity"
-  FROM c JOIN m USING (case_id, label_id) JOIN u USING (case_id, label_id) JOIN rob USING (case_id, label_id))
-SELECT {near_all(["case_id", "label_id"], FIRST)} FROM f""")
+  FROM c JOIN m USING (case_id, label_id) JOIN u USING (case_id, label_id) JOIN rob USING (case_id, label_id))"""
+
+
+@query("firstorder", f"""{FIRST_SQL} SELECT {near_all(["case_id", "label_id"], FIRST)} FROM f""")
 def _(spark, folder):
     return rounded(texture.firstorder(levels(spark, folder), REGION))
 
