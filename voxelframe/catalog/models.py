@@ -30,14 +30,16 @@ def trained(spark, folder, settings, folds=3):
 
 @query("rf_fit_predict")
 def _(spark, folder):
-    out = trained(spark, folder, training.Settings(**SMALL), 2).predictions
+    """With the default settings: 500 trees without a depth limit on up to 128 features."""
+    out = trained(spark, folder, training.Settings(), 2).predictions
     return rounded(out.selectExpr("fold", "sample_id", "y", "y_pred", "proba[1] as p1"))
 
 
 @query("train_cv")
 def _(spark, folder):
-    settings = training.Settings(**SMALL)
-    out = trained(spark, folder, settings)
+    """Five folds with the default settings."""
+    settings = training.Settings()
+    out = trained(spark, folder, settings, 5)
     return rounded(rollup.fold_summary(training.fold_metrics(out.predictions, settings)))
 
 
