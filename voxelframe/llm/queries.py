@@ -37,7 +37,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_secrets")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.report(documents(spark, folder))
+    return secrets.report(documents(spark, folder), by_window=True)
 
 
 def toxicity_chain(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.Chain:

@@ -34,6 +34,15 @@ ALLOW = (
     r"^/?(?:[A-Za-z_-]+/)+[A-Za-z_-]*$",
 )
 
+#: By window: letters without a separator have a threshold of their own, as words reach that of base64.
+LETTERS = 3.8
+#: Words that clear a window which holds all of one.
+ALLOWED_WORDS = ("example", "sample", "dummy", "placeholder", "changeme", "xxxx", "0123456789", "abcdefghij")
+#: Shorter strings, judged as one window: whole runs, and pieces of a run between separators.
+SHORT_RUN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,19}+(?![A-Za-z0-9+/=_-])"
+SHORT_PIECE = r"(?<![A-Za-z0-9+])[A-Za-z0-9+]{16,19}+(?![A-Za-z0-9+])"
+_SPANS = "array<struct<start:long,place:int,end:long,kind:string>>"
+
 
 def _weight(n: Column) -> Column:
     """n * log2(n), 0 for n < 2."""
@@ -93,6 +102,100 @@ def _entropy_spans(text: Column, found: Column) -> Column:
     return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
+def _marked(candidate: Column) -> Column:
+    """The candidate with the last letter of every allowed word replaced by a sign that tells the word's length (but for
+    11, chr(32 + length)), so one pass over the letters knows where words end and start."""
+    for word in ALLOWED_WORDS:
+        sign = chr(32 + (9 if len(word) == 11 else len(word)))
+        candidate = F.regexp_replace(candidate, f"(?i)(?<={word[:-1]}){word[-1]}", f"\\{sign}")
+    return candidate
+
+
+def judged_windows(candidate: Column, window: int = WINDOW) -> Column:
+    """struct<first, last, hexadecimal>: start of the first and end of the last window that is high; -1 if none.
+
+    Class and allow-list are decided for each window: by where the last letter outside a class and the last allowed word
+    were. ``hexadecimal`` says that all high windows are.
+    """
+    letters, marked = F.split(candidate, ""), F.split(_marked(candidate), "")
+    never = F.lit(-1)
+    classes = {"hex": "[^0-9a-fA-F]", "digit": "[^0-9=_-]", "word": "[^A-Za-z_/-]", "letter": "[^A-Za-z]"}
+    start = F.struct(
+        F.create_map().cast("map<string,int>").alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"),
+        *[never.alias(c) for c in classes], never.alias("allowed"), never.alias("first"), never.alias("last"), F.lit(True).alias("pure"),
+    )
+    kept = lambda state, *names: [state[n].alias(n) for n in names]
+
+    def enter(state, x):
+        n = F.coalesce(F.element_at(state["counts"], x["in"]), F.lit(0))
+        code = F.ascii(x["mark"]) - 32
+        length = F.when(code == 9, 11).otherwise(code)
+        seen = [F.when(x["in"].rlike(p), state["at"]).otherwise(state[c]).alias(c) for c, p in classes.items()]
+        allowed = F.when(code.between(4, 10), F.greatest(state["allowed"], state["at"] + 1 - length)).otherwise(state["allowed"])
+        total = state["sum"] + _weight(n + 1) - _weight(n)
+        return F.struct(_moved(state["counts"], x["in"], 1).alias("counts"), total.alias("sum"), (state["at"] + 1).alias("at"), *seen, allowed.alias("allowed"), *kept(state, "first", "last", "pure"))
+
+    def leave(state, letter):
+        n = F.element_at(state["counts"], letter)
+        total = state["sum"] + _weight(n - 1) - _weight(n)
+        return F.struct(_moved(state["counts"], letter, -1).alias("counts"), total.alias("sum"), *kept(state, "at", *classes, "allowed", "first", "last", "pure"))
+
+    def judge(state):
+        low = state["at"] - window
+        entropy = F.log2(F.lit(float(window))) - state["sum"] / F.lit(float(window))
+        within = {c: state[c] < low for c in classes}
+        threshold = F.when(within["letter"], LETTERS).when(within["hex"], THRESHOLDS["hex"]).otherwise(THRESHOLDS["base64"])
+        words = within["word"] & ~within["letter"]
+        high = (low >= 0) & (state["allowed"] < low) & ~within["digit"] & ~words & (entropy >= threshold)
+        first = F.when(high & (state["first"] < 0), low).otherwise(state["first"])
+        return F.struct(*kept(state, "counts", "sum", "at", *classes, "allowed"), first.alias("first"), F.when(high, state["at"]).otherwise(state["last"]).alias("last"), (state["pure"] & (~high | within["hex"])).alias("pure"))
+
+    # Each step is its own one-element fold, so a state is computed once and then used by name.
+    def step(state, x):
+        moved = F.aggregate(F.array(x), state, enter)
+        moved = F.when(x["out"].isNotNull(), F.aggregate(F.array(x["out"]), moved, leave)).otherwise(moved)
+        return F.aggregate(F.array(F.lit(0)), moved, lambda s, _: judge(s))
+
+    leaving = F.concat(F.array_repeat(F.lit(None).cast("string"), window), letters)
+    steps = F.transform(F.arrays_zip(letters.alias("a"), marked.alias("b"), F.slice(leaving, 1, F.size(letters)).alias("c")), lambda x: F.struct(x["a"].alias("in"), x["b"].alias("mark"), x["c"].alias("out")))
+    return F.aggregate(steps, start, step, lambda done: F.struct(done["first"].alias("first"), done["last"].alias("last"), done["pure"].alias("hexadecimal")))
+
+
+def _short_is_high(m: Column) -> Column:
+    """A string of under a window's length, judged as one window; thresholds follow the largest entropy of its length."""
+    letters = F.split(m, "")
+    total = F.aggregate(F.array_distinct(letters), F.lit(0.0), lambda a, c: a + _weight(F.size(F.filter(letters, lambda x: x == c))))
+    bits = F.log2(F.length(m).cast("double"))
+    threshold = F.when(m.rlike("^[A-Za-z]+$"), LETTERS).when(m.rlike("^[0-9a-fA-F]+$"), THRESHOLDS["hex"]).otherwise(THRESHOLDS["base64"])
+    words = m.rlike("^[A-Za-z_/-]+$") & ~m.rlike("^[A-Za-z]+$")
+    allowed = m.rlike("(?i)" + "|".join(ALLOWED_WORDS)) | m.rlike("^[0-9=_-]+$") | words
+    return ~allowed & (bits - total / F.length(m) >= threshold * bits / F.log2(F.lit(float(WINDOW))))
+
+
+def _spans_by_window(text: Column, found: Column) -> Column:
+    """Spans of the candidate strings in ``found`` (all matches of CANDIDATE) that have a high window."""
+    plain = lambda m: m.rlike("^[0-9=_-]+$") | (m.rlike("^[A-Za-z_/-]+$") & ~m.rlike("[A-Za-z]{20}"))
+    places = find_spans(text, found, CANDIDATE, lambda m: ~plain(m), "", 9)
+
+    def judged(place):
+        candidate = F.substring(text, (place["start"] + 1).cast("int"), (place["end"] - place["start"]).cast("int"))
+        out = lambda s: F.struct((place["start"] + s["first"]).alias("start"), F.when(s["hexadecimal"], 3).otherwise(4).alias("place"), (place["start"] + s["last"]).alias("end"), F.when(s["hexadecimal"], "entropy_hex").otherwise("entropy_base64").alias("kind"))
+        return F.transform(F.filter(F.array(judged_windows(candidate)), lambda s: s["first"] >= 0), out)
+
+    return F.flatten(F.transform(places, judged))
+
+
+def _short_spans(text: Column) -> Column:
+    """Spans of the strings of 16 to 19 characters that are high."""
+    parts = [find_spans(text, F.regexp_extract_all(text, F.lit(p), F.lit(0)), p, _short_is_high, "", 4) for p in (SHORT_RUN, SHORT_PIECE)]
+
+    def named(s):
+        hexadecimal = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")).rlike("^[0-9a-fA-F]+$")
+        return F.struct(s["start"].alias("start"), F.when(hexadecimal, 3).otherwise(4).alias("place"), s["end"].alias("end"), F.when(hexadecimal, "entropy_hex").otherwise("entropy_base64").alias("kind"))
+
+    return F.array_distinct(F.transform(F.concat(*parts), named))
+
+
 def _allowed(candidate: Column) -> Column:
     condition = F.lit(False)
     for pattern in ALLOW:
@@ -100,12 +203,15 @@ def _allowed(candidate: Column) -> Column:
     return condition
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, by_window: bool = False) -> DataFrame:
     """``docs`` with two more columns, __base and __spans: array<struct<start, place, end, kind>> in order of start, then kind.
 
     __base has the pattern matches (assign, access, hex), __spans also those of the entropy scan (entropy_hex,
     entropy_base64). Positions count code points, the end is exclusive. A null text has no spans; repeated rows are scanned
     again; an empty table stays empty. Columns of ``docs`` that start with __ are for this scan and are replaced.
+
+    ``by_window`` decides class and allow-list for each window instead of once for a whole run of candidate characters, and
+    also judges strings of 16 to 19 characters.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({
@@ -114,11 +220,15 @@ def scan(docs: DataFrame) -> DataFrame:
     })
     long_value = lambda m: F.length(F.regexp_replace(m, VALUE, "")) >= 6
     everything = lambda m: F.lit(True)
+    none = F.array().cast(_SPANS)
+    more = F.when(F.size("__cand") > 0, (_spans_by_window if by_window else _entropy_spans)(text, F.col("__cand"))).otherwise(none)
+    if by_window:
+        more = F.concat(more, F.when(text.rlike("[A-Za-z0-9+/=_-]{16}"), _short_spans(text)).otherwise(none))
     rows = rows.withColumns({
         "__assign": find_spans(text, F.col("__assign"), ASSIGN, long_value, "assign", 0),
         "__access": find_spans(text, F.col("__access"), ACCESS, everything, "access", 1),
         "__hex": find_spans(text, F.col("__hex"), HEX, everything, "hex", 2),
-        "__more": F.when(F.size("__cand") > 0, _entropy_spans(text, F.col("__cand"))).otherwise(F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")),
+        "__more": more,
     })
     rows = rows.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
     rows = rows.withColumn("__spans", F.array_sort(F.concat("__base", "__more")))
@@ -130,8 +240,8 @@ def redact(scanned: DataFrame, mark: str = "<secret>") -> DataFrame:
     return scanned.withColumn("text", replace_spans(F.col("text"), F.col("__spans"), lambda s: F.lit(mark)))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, by_window: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
-    rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), by_window)
     number = lambda kind: F.size(F.filter("__base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(spans_text(F.col("__base")), 256).alias("base_sha256"), spans_text(F.col("__spans")).alias("spans"))
