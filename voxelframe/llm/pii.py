@@ -146,16 +146,56 @@ def scan(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text_key", "base", F.transform(by_kind, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 
+def scan_whole(docs: DataFrame) -> DataFrame:
+    """As ``scan``, with evidence from whole documents: a term counts for every entity of its document, wherever it
+    stands and in however few documents, and every occurrence of a judged term in any text gets a span."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    blank = F.when(F.size("__base") > 0, _blanked(text, F.array_sort("__base"))).otherwise(F.concat(F.lit(" "), text, F.lit(" ")))
+    value = lambda s: F.concat_ws(":", s["kind"], F.lower(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    rows = rows.withColumn("blank", blank).withColumn("entities", F.array_distinct(F.transform("__base", value)))
+    rows = cut_lineage(rows.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("__base").alias("base"), "entities", "blank"))
+
+    documents = rows.count()
+    words = rows.withColumn("terms", F.array_distinct(F.transform(F.regexp_extract_all("blank", F.lit(TERM), F.lit(0)), F.lower)))
+    per_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") < documents)
+    per_entity = cut_lineage(per_entity)
+    n = F.lit(float(max(documents, 1)))
+    # As n_both is at most n_entity, a share of GENERALISE_FROM bounds n_term; more frequent terms are left out early.
+    most = per_entity.agg(F.max("n_entity").alias("m")).first()["m"] or 0
+    bound = 1.001 * most**GENERALISE_FROM * max(documents, 1) ** (1 - GENERALISE_FROM)
+    per_term = cut_lineage(words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") <= bound))
+    held = words.where(F.size("entities") > 0).select("entities", F.explode("terms").alias("term")).join(per_term.select("term"), "term")
+    pairs = held.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    known = pairs.join(per_entity, "entity").join(per_term, "term")
+    share = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
+    judged = known.withColumn("share", F.round(share, 9)).where(F.col("share") >= GENERALISE_FROM)
+    judged = cut_lineage(judged.groupBy("term").agg((F.max("share") >= REMOVE_FROM).alias("remove")))
+
+    # A repeated row has the same marks, so they are made once per id and text.
+    hits = words.select("doc_id", "text_key", F.explode("terms").alias("term")).join(judged, "term").groupBy("doc_id", "text_key")
+    hits = hits.agg(F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("removed"), F.collect_set(F.when(~F.col("remove"), F.col("term"))).alias("hinted"))
+    hits = hits.withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
+    joined = rows.join(hits, rows["doc_id"].eqNullSafe(F.col("m_id")) & (rows["text_key"] == F.col("m_key")), "left")
+    parts = [F.array_sort("base")]
+    for place, (terms, kind) in enumerate((("removed", "reveals"), ("hinted", "hints")), len(KINDS)):
+        found = F.when(F.size(terms) > 0, F.regexp_extract_all("blank", F.lit(TERM), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        spans = find_spans(F.col("blank"), found, TERM, lambda m, terms=terms: F.array_contains(terms, F.lower(m)), kind, place)
+        parts.append(F.transform(spans, lambda s: F.struct((s["start"] - 1).alias("start"), s["place"].alias("place"), (s["end"] - 1).alias("end"), s["kind"].alias("kind"))))
+    by_kind = F.array_sort(F.transform(F.concat(*parts), lambda s: F.struct(s["place"].alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return joined.select("doc_id", "text_key", "base", F.transform(by_kind, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id and text of every row, with mentions replaced by their kind, revealing terms removed and hints generalised."""
-    found = scan(docs).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), F.array_sort("spans").alias("spans"))
+    found = scan_whole(docs).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("f_id"), F.col("text_key").alias("f_key"), F.array_sort("spans").alias("spans"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", text_key(F.col("text")))
     joined = rows.join(found, rows["doc_id"].eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
     mark = lambda s: F.when(s["kind"] == "reveals", "").when(s["kind"] == "hints", "<term>").otherwise(F.concat(F.lit("<"), s["kind"], F.lit(">")))
     return joined.select("doc_id", replace_spans(F.col("text"), F.col("spans"), mark).alias("text"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row."""
+def report(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row; ``whole`` takes ``scan_whole``."""
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return scan(docs).select("doc_id", *[number(k) for k in KINDS], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return (scan_whole if whole else scan)(docs).select("doc_id", *[number(k) for k in KINDS], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))

@@ -85,7 +85,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_pii")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return pii.report(documents(spark, folder))
+    return pii.report(documents(spark, folder), whole=True)
 
 
 @query("op10_token_counts")
