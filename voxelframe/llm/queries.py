@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, exact_dedup, language, merkle, packing, pii, secrets, simhash, token_counts, topk, toxicity
+from voxelframe.llm import bpe, exact_dedup, language, merkle, packing, pii, runs, secrets, simhash, token_counts, topk, toxicity
 from voxelframe.llm.common import documents
 from voxelframe.llm.merkle_sql import manifest_sql
 from voxelframe.llm.registry import ORACLE, QUERIES, query
@@ -101,6 +101,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(number.alias("doc_id"), (F.col("n_ids") - token_counts.ID_DIGITS).alias("n_tokens"), F.col("start").alias("file_start"))
 
 
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.report(documents(spark, folder), change=runs.with_planted_tail)
+
+
 @query("op12_merkle", manifest_sql())
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest_of_documents(documents(spark, folder))
