@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelframe.llm import bpe, exact_dedup, language, merkle, packing, pii, runs, secrets, simhash, token_counts, topk, toxicity
+from voxelframe.llm import bpe, exact_dedup, language, merkle, packing, pii, runs, secrets, simhash, token_counts, topk, toxicity, wrappers
 from voxelframe.llm.common import documents
 from voxelframe.llm.merkle_sql import manifest_sql
 from voxelframe.llm.registry import ORACLE, QUERIES, query
@@ -111,6 +111,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest_of_documents(documents(spark, folder))
 
 
+@query("op13_html")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
