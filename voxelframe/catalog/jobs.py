@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import LEV, ORACLE, REG, VOX, near, near_all, near_col, query, rounded
 from voxelframe.catalog.texture import FIRST, FIRST_SQL, GLCM_AVG, GLCM_SQL, WIDTH, levels
-from voxelframe.catalog.volume import BANK, BOX, LOGS, MASKED, SPACING, SWT, crop_sql, masked_volumes
+from voxelframe.catalog.volume import BANK, BOX, LOGS, MASKED, SPACING, SWT, crop_sql, masked_volumes, perturb_sql
 from voxelframe.operators import augment, geometry, intensity, shape, texture
 from voxelframe.operators.tiles import AXES
 from voxelframe.plans import extraction, maps, planning, preprocess
@@ -264,20 +264,45 @@ def _(spark, folder):
     return cached.selectExpr(*REGION, "variant", "channel", "size(values) as n_values")
 
 
-@query("reproducibility_icc")
-def _(spark, folder):
+# Levels of every copy of a region, which is a label of its own: label * 10 + copy.
+COPIES = f"""{perturb_sql(extraction.REPEATS)}, cv AS (SELECT pt.case_id, pt.label_id * 10 + rep AS label_id, z, y, x, intensity
+  FROM pt JOIN (SELECT case_id, z, y, x, intensity FROM vox) v USING (case_id, z, y, x)),
+ends AS (SELECT case_id, label_id, min(floor(intensity / 0.05::DOUBLE)) AS lo, max(floor(intensity / 0.05::DOUBLE)) AS hi FROM cv GROUP BY ALL),
+lev AS MATERIALIZED (SELECT cv.*, CAST(floor(intensity / 0.05::DOUBLE) - lo + 1 AS INTEGER) AS level, CAST(hi - lo + 1 AS INTEGER) AS n_levels
+  FROM cv JOIN ends USING (case_id, label_id))"""
+COPIES_LONG = families_sql(COPIES, "case_id, label_id // 10 AS label_id, label_id % 10 AS repeat", "'original'")
+
+
+def perturbed(spark, folder, with_shape=False):
     from voxelframe.catalog.volume import masks
-    from voxelframe.operators import morphology
 
-    copies = morphology.perturb(masks(spark, folder), REGION, 3)
     values = voxels(spark, folder).select("case_id", *AXES, "intensity")
-    rows = copies.join(values, ["case_id", *AXES]).groupBy(*REGION, "repeat").agg(
-        F.expr("avg(intensity) as mean"), F.expr("stddev_pop(intensity) as std"), F.expr("double(count(1)) as volume")
-    )
-    long = rows.selectExpr(*REGION, "repeat", "stack(3, 'mean', mean, 'std', std, 'volume', volume) as (feature, value)")
-    return rounded(extraction.reproducibility(long, 4)[0])
+    return extraction.perturbed_features(masks(spark, folder), values, REGION, width=WIDTH, with_shape=with_shape)
+
+
+@query("perturbed_features", COPIES_LONG)
+def _(spark, folder):
+    return families(perturbed(spark, folder))
 
 
+def icc_sql(digits: int) -> str:
+    """ICC per feature over all regions and copies, from rounded features."""
+    return f"""WITH rows AS MATERIALIZED ({COPIES_LONG}), n AS (SELECT {extraction.REPEATS + 1} AS k),
+c AS (SELECT feature, case_id, label_id, avg(value) AS mean, var_pop(value) * k AS within FROM rows, n GROUP BY feature, case_id, label_id, k HAVING count(value) = k AND count(*) = k),
+f AS (SELECT feature, count(*) AS n, k * var_samp(mean) AS msb, sum(within) / (count(*) * (k - 1)) AS msw FROM c, n GROUP BY feature, k)
+SELECT feature, n, CASE WHEN n >= 2 AND msb + (k - 1) * msw > 0 THEN {near('(msb - msw) / (msb + (k - 1) * msw)', digits)} END AS icc FROM f, n"""
+
+
+@query("reproducibility_icc", icc_sql(4))
+def _(spark, folder):
+    """Texture families as the SQL has them; shape and the second singular value of the co-occurrence are in `reproducibility_all`."""
+    rows = families(perturbed(spark, folder))
+    return rounded(extraction.reproducibility(rows, extraction.REPEATS + 1)[0], 4)
+
+
+@query("reproducibility_all")
+def _(spark, folder):
+    return rounded(extraction.reproducibility(perturbed(spark, folder, True), extraction.REPEATS + 1)[0], 4)
 
 
 # ------------------------------------------------------------------ ingest and stream

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelframe.catalog.base import OFF, REG, VOX, near, near_col, query, rounded
-from voxelframe.operators import filters, geometry, intensity, morphology
+from voxelframe.operators import copies, filters, geometry, intensity, morphology
 from voxelframe.operators.tiles import AXES
 from voxelframe.session import new_folder
 from voxelframe.sources.bindings import REGION, regions, volumes, voxels
@@ -212,36 +212,42 @@ def draw_sql(text: str, count: int) -> str:
 
 
 TAG = "concat('42:', case_id, ':', label_id, ':', rep)"
-PERTURB = f"""{REG}, {OFF}, cp AS (SELECT case_id, label_id * 10 + rep AS label_id, rep, z, y, x,
-    CASE WHEN rep = 0 THEN -1 ELSE {draw_sql(TAG, 5)} END AS mode,
-    {', '.join(f"{draw_sql(f'concat({TAG}, {chr(39)}:{a}{chr(39)})', 3)} - 1 AS m{a}" for a in AXES)}
-  FROM reg, unnest([0, 1, 2]) t(rep)),
-c0 AS (SELECT * FROM cp WHERE mode = 0), c1 AS (SELECT * FROM cp WHERE mode = 1), c2 AS (SELECT * FROM cp WHERE mode = 2),
-c3 AS (SELECT * FROM cp WHERE mode = 3), e2 AS ({erode_sql('c2')}), d3 AS ({dilate_sql('c3')}),
-made AS MATERIALIZED ({dilate_sql('c0')} UNION ALL {erode_sql('c1')} UNION ALL {dilate_sql('e2')} UNION ALL {erode_sql('d3')} UNION ALL
-  SELECT case_id, label_id, z + mz, y + my, x + mx FROM cp WHERE mode = 4 AND z + mz BETWEEN 0 AND 3 AND y + my BETWEEN 0 AND 3
-   AND x + mx BETWEEN 0 AND 3),
-pt AS (SELECT case_id, label_id, z, y, x FROM made UNION ALL
-  SELECT case_id, label_id, z, y, x FROM cp WHERE mode = -1 UNION ALL
-  SELECT case_id, label_id, z, y, x FROM cp ANTI JOIN (SELECT DISTINCT case_id, label_id FROM made) m USING (case_id, label_id) WHERE mode <> -1)"""
-
-
-@query("perturb_masks", f"""WITH {PERTURB}
-SELECT case_id, label_id // 10 AS label_id, label_id % 10 AS repeat, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM pt""")
+# A region of the 4x4x4 sample volumes as the list of its cells; copies are made from five lists of a region.
+LIST_CELLS = {
+    "dilated": ("whole", "list_has_any(near, cells)"), "eroded": ("whole", "len(near) = 27 AND list_has_all(cells, near)"),
+    "opened": ("eroded", "list_has_any(near, cells)"), "closed": ("dilated", "len(near) = 27 AND list_has_all(cells, near)"),
+}
+
+
+def perturb_sql(repeats: int) -> str:
+    """CTEs up to ``pt``: the voxels of every copy (case_id, label_id, rep, z, y, x)."""
+    made = ", ".join(
+        f"{name} AS MATERIALIZED (SELECT case_id, label_id, list(q) AS cells FROM {source}, nb WHERE {rule} GROUP BY ALL)"
+        for name, (source, rule) in LIST_CELLS.items()
+    )
+    drawn = ", ".join(f"{draw_sql(f'concat({TAG}, {chr(39)}:{a}{chr(39)})', 3)} - 1 AS m{a}" for a in AXES)
+    moved = "list_transform(list_filter(c.cells, lambda p: p // 16 + mz BETWEEN 0 AND 3 AND (p // 4) % 4 + my BETWEEN 0 AND 3 AND p % 4 + mx BETWEEN 0 AND 3), lambda p: p + 16 * mz + 4 * my + mx)"
+    cases = " ".join(f"WHEN {k} THEN {name}.cells" for k, name in enumerate(LIST_CELLS))
+    joins = " ".join(f"LEFT JOIN {name} ON {name}.case_id = c.case_id AND {name}.label_id = c.label_id" for name in LIST_CELLS)
+    return f"""{REG}, nb AS MATERIALIZED (SELECT a.p AS q, list(b.p) AS near FROM range(64) a(p), range(64) b(p)
+  WHERE abs(a.p // 16 - b.p // 16) <= 1 AND abs((a.p // 4) % 4 - (b.p // 4) % 4) <= 1 AND abs(a.p % 4 - b.p % 4) <= 1 GROUP BY ALL),
+whole AS MATERIALIZED (SELECT case_id, label_id, list(CAST(z * 16 + y * 4 + x AS BIGINT)) AS cells FROM reg GROUP BY ALL), {made},
+cp AS MATERIALIZED (SELECT *, {drawn}, CASE WHEN rep = 0 THEN -1 ELSE {draw_sql(TAG, 5)} END AS mode FROM whole, range({repeats + 1}) t(rep)),
+pl AS MATERIALIZED (SELECT c.case_id, c.label_id, c.rep, c.cells, CASE c.mode {cases} WHEN 4 THEN {moved} END AS made FROM cp c {joins}),
+pt AS MATERIALIZED (SELECT case_id, label_id, rep, p // 16 AS z, (p // 4) % 4 AS y, p % 4 AS x
+  FROM (SELECT case_id, label_id, rep, unnest(CASE WHEN coalesce(len(made), 0) = 0 THEN cells ELSE made END) AS p FROM pl))"""
+
+
+@query("perturb_masks", f"""WITH {perturb_sql(2)}
+SELECT case_id, label_id, rep AS repeat, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM pt""")
 def _(spark, folder):
     return morphology.perturb(masks(spark, folder), REGION, 2).select(*REGION, "repeat", *AXES)
 
 
-@query("perturbed_features", f"""WITH {PERTURB}
-SELECT case_id, label_id // 10 AS label_id, label_id % 10 AS repeat, count(*) AS voxels, {near('avg(intensity)')} AS mean,
-  {near('var_pop(intensity)')} AS variance FROM pt JOIN (SELECT case_id, z, y, x, intensity FROM vox) v USING (case_id, z, y, x) GROUP BY ALL""")
+@query("perturbed_copies", f"""WITH {perturb_sql(8)}
+SELECT case_id, label_id, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(sum(1 << rep) AS BIGINT) AS copies FROM pt GROUP BY ALL""")
 def _(spark, folder):
-    copies = morphology.perturb(masks(spark, folder), REGION, 2)
-    values = voxels(spark, folder).select("case_id", *AXES, "intensity")
-    out = copies.join(values, ["case_id", *AXES]).groupBy(*REGION, "repeat").agg(
-        F.count(F.lit(1)).alias("voxels"), F.avg("intensity").alias("mean"), F.var_pop("intensity").alias("variance")
-    )
-    return rounded(out)
+    return copies.perturbed(masks(spark, folder), REGION, 8)
 
 
 @query("shift_augment", f"""WITH {REG}, s AS (SELECT *, CASE WHEN {draw_sql("concat('7:', case_id)", 2)} = 0 THEN 1 ELSE 0 END AS go,

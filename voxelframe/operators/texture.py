@@ -80,6 +80,11 @@ def glcm_matrix(regions: DataFrame, keys: list[str]) -> DataFrame:
     counts = pairs.groupBy(
         *groups, F.expr(DIRECTION), F.expr("least(level, n_level) as lo"), F.expr("greatest(level, n_level) as hi")
     ).agg(F.expr("count(1) as n"))
+    return cooccurrence(counts, groups)
+
+
+def cooccurrence(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """Probabilities of both orders from counts of level pairs (groups, direction, lo, hi, n)."""
     groups = [*groups, "direction"]
     per = f"over (partition by {', '.join(groups)})"
     counts = counts.repartition(*groups).selectExpr("*", f"sum(n) {per} as total", f"sum(n * (lo + hi)) {per} as weight")
@@ -143,7 +148,11 @@ GLCM_FEATURES = [
 
 def glcm(regions: DataFrame, keys: list[str]) -> DataFrame:
     """Mean over the 13 directions of 23 co-occurrence features (``glcm_mcc`` adds the 24th)."""
-    each = glcm_by_direction(glcm_matrix(regions, keys), keys)
+    return glcm_mean(glcm_matrix(regions, keys), keys)
+
+
+def glcm_mean(matrix: DataFrame, keys: list[str]) -> DataFrame:
+    each = glcm_by_direction(matrix, keys)
     return each.groupBy(*keys).agg(*[F.avg(name).alias(name) for name in GLCM_FEATURES])
 
 
@@ -152,8 +161,12 @@ def glcm_mcc(regions: DataFrame, keys: list[str]) -> DataFrame:
 
     One small dense matrix (levels x levels) per region and direction goes to numpy.
     """
+    return mcc_mean(glcm_matrix(regions, keys), keys)
+
+
+def mcc_mean(matrix: DataFrame, keys: list[str]) -> DataFrame:
     groups = [*keys, "direction"]
-    cells = glcm_matrix(regions, keys).groupBy(*groups).agg(F.collect_list(F.struct("i", "j", "p")).alias("cells"))
+    cells = matrix.groupBy(*groups).agg(F.collect_list(F.struct("i", "j", "p")).alias("cells"))
 
     @F.pandas_udf("double")
     def second_value(cells: pd.Series) -> pd.Series:
@@ -217,13 +230,14 @@ def _mean_over_directions(each: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys).agg(*[F.expr(f"avg({n}) as {n}") for n in names])
 
 
-def run_lengths(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE) -> DataFrame:
+def run_lengths(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE, tiled: DataFrame | None = None) -> DataFrame:
     """Run matrix of 13 directions: keys, direction, level, size, n.
 
     Runs are found inside tiles; only the pieces that touch a tile border are shuffled again and stitched along
-    their line. A line is the point where it meets t = 0; t is its first moving coordinate.
+    their line. A line is the point where it meets t = 0; t is its first moving coordinate. ``tiled`` has the rows where
+    they are in tiles already.
     """
-    spread = into_tiles(regions.select(*keys, *AXES, "level"), keys, 0, tile)
+    spread = into_tiles(regions.select(*keys, *AXES, "level"), keys, 0, tile) if tiled is None else tiled
     spread = spread.selectExpr("*", f"inline({offsets_array(HALF_13)})")
     spread = spread.selectExpr("*", "if(dz > 0, z, if(dy > 0, y, x)) as t")
     start = [f"{a} - t * d{a} as l{a}" for a in AXES]
@@ -249,8 +263,8 @@ def run_lengths(regions: DataFrame, keys: list[str], tile: tuple[int, int, int]
     return runs.groupBy(*keys, F.expr(DIRECTION), "level", F.expr("t1 - t0 + 1 as size")).agg(F.expr("count(1) as n"))
 
 
-def glrlm(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE) -> DataFrame:
-    each = size_features(run_lengths(regions, keys, tile), [*keys, "direction"], "glrlm")
+def glrlm(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE, tiled: DataFrame | None = None) -> DataFrame:
+    each = size_features(run_lengths(regions, keys, tile, tiled), [*keys, "direction"], "glrlm")
     return _mean_over_directions(each, keys)
 
 
@@ -295,7 +309,7 @@ def _tile_zones(keys: list[str], tile: tuple[int, int, int]):
     return zones
 
 
-def size_zones(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE) -> DataFrame:
+def size_zones(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE, tiled: DataFrame | None = None) -> DataFrame:
     """Zone matrix: keys, level, size, n.
 
     Regions are told apart by all keys, so they may overlap, as crops of a case do that each start at 0. Zones are
@@ -305,7 +319,7 @@ def size_zones(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] =
     schema = regions.select(*keys, "level").schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     ddl += ", root bigint, voxels bigint, faces array<bigint>"
-    placed = into_tiles(regions.select(*keys, *AXES, "level"), keys, 0, tile)
+    placed = into_tiles(regions.select(*keys, *AXES, "level"), keys, 0, tile) if tiled is None else tiled
     pieces = placed.groupBy(*keys, *TILE_KEYS).applyInArrow(_tile_zones(keys, tile), ddl)
     pieces = cut_lineage(pieces)
     facing = pieces.selectExpr(*keys, "level", "root", "explode(faces) as at").selectExpr(
@@ -322,8 +336,8 @@ def size_zones(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] =
     return sizes.groupBy(*keys, "level", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
-def glszm(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE) -> DataFrame:
-    return size_features(size_zones(regions, keys, tile), keys, "glszm")
+def glszm(regions: DataFrame, keys: list[str], tile: tuple[int, int, int] = TILE_SIZE, tiled: DataFrame | None = None) -> DataFrame:
+    return size_features(size_zones(regions, keys, tile, tiled), keys, "glszm")
 
 
 def gldm(regions: DataFrame, keys: list[str], alpha: int = 0) -> DataFrame:
@@ -337,9 +351,14 @@ def gldm(regions: DataFrame, keys: list[str], alpha: int = 0) -> DataFrame:
 
 # ---------------------------------------------------------------- neighbourhood tone difference
 def ngtdm(regions: DataFrame, keys: list[str]) -> DataFrame:
-    """Five tone-difference features. The level x level sums run over one short array of levels per region."""
+    """Five tone-difference features."""
     pairs = neighbour_pairs(regions, keys, "level", FULL_26)
-    voxels = pairs.groupBy(*keys, *TILE_KEYS, *AXES, "level").agg(F.avg("n_level").alias("around"))
+    return tone_features(pairs.groupBy(*keys, *TILE_KEYS, *AXES, "level").agg(F.avg("n_level").alias("around")), keys)
+
+
+def tone_features(voxels: DataFrame, keys: list[str]) -> DataFrame:
+    """Tone differences from voxels (keys, level, mean level ``around``). The level x level sums run over one short array of
+    levels per region."""
     levels = voxels.groupBy(*keys, "level").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("level") - F.col("around"))).alias("s")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.scalar import finite
-from voxelframe.operators import filters, intensity, matrix, quality, shape, texture
+from voxelframe.operators import copies, filters, intensity, matrix, quality, shape, texture
 from voxelframe.operators.tiles import AXES
 from voxelframe.session import cut_lineage, read_if_there
 from voxelframe.sources import records
@@ -80,6 +80,23 @@ def extract_pending(
     return records.read_features(spark, store, config_hash)
 
 
+#: Perturbed copies of a mask a feature has to be stable under.
+REPEATS = 8
+
+
+def perturbed_features(
+    masks: DataFrame, values: DataFrame, keys: list[str], modality: str = "CT", repeats: int = REPEATS, seed: int = 42, width: float = CT_BIN_WIDTH,
+    with_shape: bool = True,
+) -> DataFrame:
+    """Features of all families of every mask and its perturbed copies: keys, repeat, feature, value.
+
+    ``masks`` has keys, the grid size and z, y, x; ``values`` the intensity of every voxel of a case (case_id, z, y, x).
+    """
+    marked = copies.perturbed(masks, keys, repeats, seed).join(values.select("case_id", *AXES, "intensity"), ["case_id", *AXES])
+    bins = {"width": width} if modality == "CT" else {"count": MR_BIN_COUNT}
+    return copies.features(marked, keys, repeats, with_shape=with_shape, **bins)
+
+
 def reproducibility(perturbed: DataFrame, repeats: int) -> tuple[DataFrame, DataFrame]:
     """ICC per feature over perturbed extractions (case_id, label_id, repeat, feature, value) and its summary."""
     rows = perturbed.selectExpr("feature", "concat_ws(':', case_id, label_id) as case_id", "repeat", "value")
