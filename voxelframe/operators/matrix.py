@@ -39,6 +39,12 @@ def matrix_test(features: DataFrame, targets: DataFrame, holdout: DataFrame) ->
     return matrix_per_label(features.join(cases, "case_id", "left_semi"), targets.join(cases, "case_id", "left_semi"))
 
 
+def matrix_test_per_case(features: DataFrame, targets: DataFrame, holdout: DataFrame) -> DataFrame:
+    """Per-case matrix of the held-out cases only, as long rows."""
+    cases = holdout.where("split = 'holdout'").select("case_id")
+    return matrix_per_case_long(features.join(cases, "case_id", "left_semi"), targets.join(cases, "case_id", "left_semi"))
+
+
 def fold_roles(samples: DataFrame, folds: DataFrame, n_folds: int) -> DataFrame:
     """Every sample once per fold with its role: ``val`` in its case's own fold, ``train`` in the others."""
     own = samples.join(folds.selectExpr("case_id", "fold as own_fold"), "case_id")

@@ -79,3 +79,32 @@ def report_lines(summary: DataFrame, attention: DataFrame) -> DataFrame:
 def write_report(lines: DataFrame, path: str) -> None:
     """One text file; the rows are metrics and labels, so there are few of them."""
     lines.orderBy("section", "name").select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def report_document(task: str, model: str, metrics: DataFrame, run_times: DataFrame, attention: DataFrame | None = None) -> DataFrame:
+    """The whole report as rows (part, name, line): title, model, folds, run time, a table of metrics, and label weights if any.
+
+    ``metrics`` is fold, metric, value; ``run_times`` is fold, seconds. Parts and names give the order of the lines.
+    """
+    folds = metrics.agg(F.countDistinct("fold").alias("n"))
+    seconds = run_times.agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("s"))
+    head = folds.withColumn("s", one_row(seconds)["s"]).selectExpr(f"""inline(array(
+        named_struct('part', 0, 'name', '', 'line', '# Report: {task}'), named_struct('part', 1, 'name', '', 'line', ''),
+        named_struct('part', 2, 'name', '', 'line', '- Model: `{model}`'), named_struct('part', 3, 'name', '', 'line', concat('- Folds: ', n)),
+        named_struct('part', 4, 'name', '', 'line', format_string('- Runtime (s): %.2f', s)), named_struct('part', 5, 'name', '', 'line', ''),
+        named_struct('part', 6, 'name', '', 'line', '## Metrics Summary'), named_struct('part', 7, 'name', '', 'line', ''),
+        named_struct('part', 8, 'name', '', 'line', '| Metric | Mean | Std | Min | Max |'), named_struct('part', 9, 'name', '', 'line', '|---|---:|---:|---:|---:|')))""")
+    none = metrics.sparkSession.createDataFrame([], "label string, weight double")
+    lines = report_lines(fold_summary(metrics), none if attention is None else attention)
+    body = lines.selectExpr("if(section = 'metric', 10, 14) as part", "name", "line")
+    if attention is None:
+        return head.unionByName(body)
+    label_head = attention.agg(F.count(F.lit(1)).alias("n")).where("n > 0").selectExpr("""inline(array(
+        named_struct('part', 11, 'name', '', 'line', ''), named_struct('part', 12, 'name', '', 'line', '## Mean Attention Weights'),
+        named_struct('part', 13, 'name', '', 'line', '')))""")
+    return head.unionByName(body).unionByName(label_head)
+
+
+def write_document(rows: DataFrame, path: str) -> None:
+    """The lines of ``report_document`` as one text file; there are as many as metrics and labels."""
+    rows.orderBy("part", "name").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -24,6 +24,37 @@ def canonical_class(values: DataFrame, shift: DataFrame, num_classes: int) -> Da
     return rows.withColumn("value", F.expr(moved)).drop("shift")
 
 
+def canonical_targets(targets: DataFrame, specs: DataFrame) -> DataFrame:
+    """Long targets (case_id, target, label_id, value) of all classifications in one pass, their classes counted from 0.
+
+    A target of ``specs`` (target, type, num_classes; two classes if not stated) is shifted by one if its whole values run
+    from at least 1 up to the class count; values that do not become a class, and regressions, stay as they are.
+    """
+    kinds = specs.selectExpr("target", "type", "coalesce(num_classes, 2) as num_classes")
+    rows = targets.join(kinds, "target")
+    ends = rows.where("type = 'classification' and value is not null").groupBy("target", "num_classes").agg(
+        F.expr("min(int(value)) as low"), F.expr("max(int(value)) as high")
+    )
+    shifts = ends.selectExpr("target", "int(low >= 1 and high = num_classes) as shift")
+    moved = "if(int(value) - shift between 0 and num_classes - 1, double(int(value) - shift), value)"
+    shifted = f"if(type = 'classification' and shift is not null, {moved}, value)"
+    return rows.join(shifts, "target", "left").selectExpr("case_id", "target", "label_id", f"{shifted} as value")
+
+
+def strata(targets: DataFrame, specs: DataFrame, target: str) -> DataFrame:
+    """case_id, stratum of the cases with a value of the target: its class, or the quartile of a regression."""
+    spec = specs.where(F.col("target") == target).select("type", "scope", "num_classes").first()
+    rows = targets.where(F.col("target") == target)
+    cases = targets.select("case_id").distinct()
+    if spec["scope"] == "per_label":
+        values = strat_value(rows, cases, spec["type"] == "classification" and (spec["num_classes"] or 2) == 2)
+    else:
+        values = cases.join(rows.select("case_id", "value"), "case_id", "left").selectExpr("case_id", "coalesce(value, -1D) as value")
+    if spec["type"] == "regression":
+        return quartile_bin(values).select("case_id", "stratum")
+    return values.selectExpr("case_id", "int(value) as stratum")
+
+
 def strat_value(targets: DataFrame, cases: DataFrame, binary: bool) -> DataFrame:
     """Per-label targets to one value per case: any above 0.5 for two classes, else the mean (-1 without values)."""
     known = targets.where("value is not null").groupBy("case_id").agg(

@@ -7,6 +7,8 @@ choice of parameters, a few numbers, is made on the driver.
 from __future__ import annotations
 
 import random
+import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -199,10 +201,15 @@ def predictions_of(model, rows: DataFrame, settings: Settings, fold: int) -> Dat
     return scored.select(*columns, F.col("prediction").cast("int").alias("y_pred"), vector_to_array("probability").alias("proba"))
 
 
-def train_folds(rows: DataFrame, settings: Settings, done: set[int] = frozenset()) -> Trained:
+def train_folds(
+    rows: DataFrame, settings: Settings, done: set[int] = frozenset(), prepared: Callable[[Trained], None] | None = None,
+    finished: Callable[[FoldModel, DataFrame, DataFrame, float], None] | None = None,
+) -> Trained:
     """Fit one forest per fold on its training rows and predict its validation rows.
 
-    Preparation runs once for all folds; a fold that is done already or has an empty side is skipped.
+    Preparation runs once for all folds; a fold that is done already or has an empty side is skipped. ``prepared`` gets the
+    tables of the preparation before the first fit, ``finished`` every model with its predictions, importances and the time
+    it started, as soon as it is fitted.
     """
     keys = ["fold"]
     rows = cut_lineage(quality.complete(rows, keys))
@@ -215,16 +222,20 @@ def train_folds(rows: DataFrame, settings: Settings, done: set[int] = frozenset(
     packed = cut_lineage(vectors(scaled, chosen, ["fold", "role", "sample_id", "y"]))
     sides = {(r["fold"], r["role"]) for r in packed.select("fold", "role").distinct().collect()}  # two per fold
     models, predicted, ranked = [], None, None
+    if prepared is not None:
+        prepared(Trained([], medians, scale, chosen, None, None))
     for fold in sorted({f for f, _ in sides}):
         if fold in done or (fold, "train") not in sides or (fold, "val") not in sides:
             continue
-        mine = packed.where(F.col("fold") == fold)
+        started, mine = time.time(), packed.where(F.col("fold") == fold)
         fit_rows = balanced(mine.where("role = 'train'").drop("fold", "role"), settings)
         params = random_search(fit_rows, settings) if settings.tune else {}
         model = estimator(settings, **params).fit(fit_rows)
         models.append(FoldModel(fold, model, params))
         part = predictions_of(model, mine.where("role = 'val'").drop("fold", "role"), settings, fold)
         scores = importances(model, chosen.where(F.col("fold") == fold)).selectExpr(f"{fold} as fold", "feature", "importance")
+        if finished is not None:
+            finished(models[-1], part, scores, started)
         predicted = part if predicted is None else predicted.unionByName(part)
         ranked = scores if ranked is None else ranked.unionByName(scores)
     return Trained(models, medians, scale, chosen, predicted, ranked)

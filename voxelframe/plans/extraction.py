@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelframe.functions.scalar import finite
+from voxelframe.functions.single import one_row
 from voxelframe.operators import copies, filters, intensity, matrix, quality, shape, texture
 from voxelframe.operators.tiles import AXES
+from voxelframe.plans import isolate
+from voxelframe.plans.maps import crop_voxels
 from voxelframe.session import cut_lineage, read_if_there
 from voxelframe.sources import records
 
@@ -34,6 +38,26 @@ def image_types(cropped: DataFrame, keys: list[str], sigmas: tuple[float, ...] =
     return bank.selectExpr(*keys, *AXES, named, "round(value, 8) as intensity").join(inside, [*keys, *AXES])
 
 
+#: Intensities of MR crops are brought to this deviation before image types are made.
+MR_SCALE = 100.0
+
+
+def normalised(cropped: DataFrame, keys: list[str], modality: str) -> DataFrame:
+    """Crop voxels with the intensities the image types start from: CT as it is, MR by mean and sample deviation of the whole
+    crop, times ``MR_SCALE``; a flat crop becomes 0."""
+    if modality == "CT":
+        return cropped
+    stats = cropped.groupBy(*keys).agg(F.avg("intensity").alias("_mean"), F.stddev_samp("intensity").alias("_std"))
+    scaled = (F.col("intensity") - F.col("_mean")) / F.when(F.col("_std") > 0, F.col("_std")).otherwise(1.0) * MR_SCALE
+    return cropped.join(stats, keys).withColumn("intensity", scaled).drop("_mean", "_std")
+
+
+def typed_levels(cropped: DataFrame, keys: list[str], modality: str, width: float = CT_BIN_WIDTH) -> DataFrame:
+    """Region voxels of all image types with the levels of the modality's settings: input of ``region_features``."""
+    rows = image_types(cut_lineage(normalised(cropped, keys, modality)), keys)
+    return discretised(rows, [*keys, "image_type"], modality, width)
+
+
 def discretised(regions: DataFrame, keys: list[str], modality: str, width: float = CT_BIN_WIDTH) -> DataFrame:
     if modality == "CT":
         return intensity.discretize_width(regions, keys, width)
@@ -80,6 +104,34 @@ def extract_pending(
     return records.read_features(spark, store, config_hash)
 
 
+def extract_safely(
+    crops: DataFrame, store: str, config_hash: str, levels: Callable[[DataFrame], DataFrame], keys: list[str], families: tuple[str, ...] = tuple(FAMILIES),
+    with_shape: bool = True, voxels: Callable[[DataFrame, list[str]], DataFrame] = crop_voxels,
+) -> DataFrame:
+    """``extract_pending`` over crop rows (keys, shape, image, mask) that a broken crop does not stop; ``levels`` makes
+    discretised region voxels of crop voxels, which ``voxels`` makes of crop rows.
+
+    Returns the crops without a result: key, error. They have no record in the store, so the next run tries them again.
+    """
+    stored = read_if_there(crops.sparkSession, store)
+    todo = crops
+    if stored is not None:
+        known = stored.select(*keys, "config_hash").distinct()
+        todo = crops.join(matrix.pending_regions(crops.select(*keys).distinct(), known, config_hash), keys, "left_semi")
+    todo = cut_lineage(todo)
+    faults = cut_lineage(isolate.named_faults(todo, keys))
+    good = todo.join(faults.select(*keys), keys, "left_anti")
+
+    def work(part: DataFrame) -> None:
+        rows = region_features(levels(voxels(part, keys)), keys, families, with_shape)
+        rows = rows.selectExpr(*keys, "feature", f"{finite('value')} as value")
+        records.write_features(rows.withColumn("config_hash", F.lit(config_hash)), store)
+
+    failed = isolate.attempt(good, keys, work)
+    named = faults.select(F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("key"), "error")
+    return named.unionByName(failed)
+
+
 #: Perturbed copies of a mask a feature has to be stable under.
 REPEATS = 8
 
@@ -112,3 +164,11 @@ def intercorrelation(features: DataFrame, threshold: float = 0.9) -> tuple[DataF
     full = cut_lineage(quality.fill_median(rows, quality.medians(rows, []), []))
     pairs = quality.spearman(full)
     return pairs, quality.correlated_pairs(pairs, threshold).orderBy(F.abs("r").desc(), "a", "b")
+
+
+def intercorrelation_summary(features: DataFrame, strong: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """One row: samples, features with values that vary, the threshold, and the pairs above it."""
+    varying = quality.valid_features(features).where("any_value and varies").agg(F.count(F.lit(1)).alias("n"))
+    samples = features.agg(F.countDistinct("sample_id").alias("n_samples"))
+    pairs = strong.agg(F.count(F.lit(1)).alias("n"))
+    return samples.withColumn("n_features", one_row(varying)["n"]).withColumn("corr_threshold", F.lit(float(threshold))).withColumn("n_high_corr_pairs", one_row(pairs)["n"])
