@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelframe.catalog.base import LEV, ORACLE, REG, VOX, near, near_all, near_col, query, rounded
+from voxelframe.catalog.base import CASES, LEV, ORACLE, REG, RTARGET, VOX, near, near_all, near_col, query, rounded
 from voxelframe.catalog.texture import FIRST, FIRST_SQL, GLCM_AVG, GLCM_SQL, WIDTH, levels
 from voxelframe.catalog.volume import BANK, BOX, LOGS, MASKED, SPACING, SWT, crop_sql, masked_volumes, perturb_sql
-from voxelframe.operators import augment, geometry, intensity, shape, texture
+from voxelframe.operators import augment, geometry, intensity, shape, splits, texture
 from voxelframe.operators.tiles import AXES
 from voxelframe.plans import extraction, maps, planning, preprocess
 from voxelframe.session import cut_lineage, new_folder
-from voxelframe.sources import records
+from voxelframe.sources import bindings, records
 from voxelframe.sources.bindings import REGION, regions, samples, volumes, voxels
 from voxelframe.sources.volumes import crop_rows, ingest_violations, volumes_of, voxels_of
 
@@ -305,6 +305,90 @@ def _(spark, folder):
     return rounded(extraction.reproducibility(perturbed(spark, folder, True), extraction.REPEATS + 1)[0], 4)
 
 
+# ------------------------------------------------------------------ jobs
+BROKEN = "case_id % 100 = 7"
+
+
+def broken_crops(spark, folder):
+    """The crops, every hundredth case with an image that lacks its last voxel."""
+    return whole_crops(spark, folder).withColumn("image", F.expr(f"if({BROKEN}, slice(image, 1, size(image) - 1), image)"))
+
+
+def safe_levels(rows):
+    return intensity.discretize_width(rows.where("inside = 1"), REGION, WIDTH)
+
+
+@query("extract_safely", f"SELECT * FROM ({FAMILIES_LONG}) WHERE NOT {BROKEN}")
+def _(spark, folder):
+    store = new_folder(spark, "features-safe")
+    extraction.extract_safely(broken_crops(spark, folder), store, "dddd0004", safe_levels, REGION, with_shape=False)
+    return families(records.read_features(spark, store, "dddd0004"))
+
+
+@query("extract_errors", f"WITH {REG} SELECT DISTINCT case_id || ':' || label_id AS key, 'image does not fill its shape' AS error FROM reg WHERE {BROKEN}")
+def _(spark, folder):
+    return extraction.extract_safely(broken_crops(spark, folder), new_folder(spark, "features-safe"), "dddd0004", safe_levels, REGION, ("firstorder",), False)
+
+
+@query("normalised_mr", f"""WITH {BOX}, c AS ({crop_sql(0)}), s AS (SELECT case_id, label_id, avg(intensity) AS mu, stddev_samp(intensity) AS sd FROM c GROUP BY ALL)
+SELECT case_id, label_id, z, y, x, {near('(intensity - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END * 100', 4)} AS intensity FROM c JOIN s USING (case_id, label_id)""")
+def _(spark, folder):
+    vox = voxels(spark, folder)
+    cropped = geometry.crop_voxels(vox, geometry.label_bbox(vox))
+    return rounded(extraction.normalised(cropped, REGION, "MR").select(*REGION, *AXES, "intensity"), 4)
+
+
+SPECS = [("flag", "classification", "per_label", 3, 0), ("source_level", "classification", "per_case", 5, 1), ("age", "regression", "per_case", None, 2)]
+TARGETS = f"""{RTARGET}, {CASES}, tg AS (SELECT case_id, 'flag' AS target, label_id, value FROM rtarget
+  UNION ALL SELECT case_id, 'source_level', NULL, source_level FROM cases UNION ALL SELECT case_id, 'age', NULL, age FROM cases)"""
+
+
+def all_targets(spark, folder):
+    """Targets of three kinds: a class per label, a class counted from 1 per case, and a number per case."""
+    cases = bindings.cases(spark, folder)
+    per_case = cases.selectExpr("case_id", "inline(array(named_struct('target', 'source_level', 'value', source_level), named_struct('target', 'age', 'value', age)))")
+    rows = bindings.region_targets(spark, folder).selectExpr("case_id", "'flag' as target", "label_id", "value")
+    return rows.unionByName(per_case.selectExpr("case_id", "target", "cast(null as int) as label_id", "value"))
+
+
+def target_table(spark):
+    return spark.createDataFrame(SPECS, "target string, type string, scope string, num_classes int, position int")
+
+
+@query("canonical_targets", f"""WITH {TARGETS}, kinds AS (SELECT * FROM (VALUES ('flag', 3), ('source_level', 5)) t(target, classes)),
+s AS (SELECT target, classes, min(value) >= 1 AND max(value) = classes AS shifted FROM tg JOIN kinds USING (target) GROUP BY target, classes)
+SELECT case_id, target, label_id, CASE WHEN shifted AND value - 1 BETWEEN 0 AND classes - 1 THEN value - 1 ELSE value END AS value FROM tg LEFT JOIN s USING (target)""")
+def _(spark, folder):
+    return splits.canonical_targets(all_targets(spark, folder), target_table(spark))
+
+
+# Hold-out by classes of cases: those without a class are a stratum of their own.
+@query("holdout_manifest", f"""WITH {CASES}, n AS (SELECT count(*) AS n FROM cases), h AS (SELECT n, greatest(1, least(n - 1, round_even(n * 0.2::DOUBLE, 0))) AS h FROM n)
+SELECT 42 AS seed, 'targets' AS source, 0.2::DOUBLE AS holdout_fraction, 'stratified_shuffle' AS strategy, 'source_level' AS stratification_key, n AS n_cases,
+  CAST(n - h AS BIGINT) AS n_train, CAST(h AS BIGINT) AS n_holdout FROM h""")
+def _(spark, folder):
+    from voxelframe.plans import jobs
+
+    rows = all_targets(spark, folder).where("target <> 'flag'")
+    return jobs.holdout_manifest(rows, target_table(spark), new_folder(spark, "holdout"))[1]
+
+
+@query("preprocess_job", f"""WITH {REG}, {RTARGET}, t AS (SELECT case_id, label_id, v.value FROM (SELECT DISTINCT case_id, label_id FROM reg) r
+  LEFT JOIN (SELECT case_id, label_id, value FROM rtarget) v USING (case_id, label_id))
+SELECT 'plan' AS step, 1 AS n_rows UNION ALL SELECT 'crops', count(*) FROM (SELECT DISTINCT case_id, label_id FROM reg)
+UNION ALL SELECT 'targets', count(*) FROM t UNION ALL SELECT 'folds', count(*) FROM embeddings""")
+def _(spark, folder):
+    """Plan, crops, targets and folds of all volumes: what each step left in the ledger; features and maps have their own queries."""
+    from voxelframe.plans import jobs
+
+    vol = volumes(spark, folder)
+    shown = regions(spark, folder).select(*REGION).distinct()
+    targets = shown.join(bindings.region_targets(spark, folder), REGION, "left").selectExpr("case_id", "'flag' as target", "label_id", "value")
+    ledger = jobs.preprocess(vol, spark.sql("select explode(array(1, 2)) as label_id"), targets, target_table(spark), "volumes", "MR", new_folder(spark, "job"), "none")
+    rows = [(step, row.n_rows) for (step, _), row in ledger.rows.items()]
+    return spark.createDataFrame(rows, "step string, n_rows long")
+
+
 # ------------------------------------------------------------------ ingest and stream
 def nifti_bytes(values, spacing) -> bytes:
     """A gzipped NIfTI-1 file of a (z, y, x) array."""

@@ -436,3 +436,42 @@ def _(spark, folder):
     )
     out = rollup.ensemble_vote(rows)
     return rounded(out.selectExpr("sample_id", "y_pred", "n_folds", "proba[0] as p0", "proba[1] as p1"))
+
+
+# ------------------------------------------------------------------ reports and correlation files of jobs
+def scanned_times(spark, folder):
+    docs = table(spark, folder, "events").selectExpr("concat('results/task/forest/fold_', user_id, '/metrics.json') as path", f"{DOCS} as doc")
+    return records.read_fold_times(docs, "forest")
+
+
+@query("fold_times", """SELECT CAST(user_id AS INTEGER) AS fold, CAST(sum(event_id % 60) AS DOUBLE) AS seconds FROM events
+WHERE event_id % 10 = 0 OR event_id % 3 <> 0 GROUP BY ALL""")
+def _(spark, folder):
+    return scanned_times(spark, folder).groupBy("fold").agg(F.sum("seconds").alias("seconds"))
+
+
+HEAD_LINES = ["'# Report: task'", "''", "'- Model: `forest`'", "'- Folds: ' || n", "printf('- Runtime (s): %.2f', t)", "''", "'## Metrics Summary'", "''",
+              "'| Metric | Mean | Std | Min | Max |'", "'|---|---:|---:|---:|---:|'"]
+HEAD_SQL = " UNION ALL ".join(f"SELECT {k} AS part, '' AS name, {line} AS line FROM hd" for k, line in enumerate(HEAD_LINES))
+
+
+@query("report_document", f"""WITH {REPORT}, hd AS (SELECT (SELECT count(DISTINCT fold) FROM sc) AS n,
+  (SELECT CAST(sum(event_id % 60) AS DOUBLE) FROM events WHERE event_id % 10 = 0 OR event_id % 3 <> 0) AS t)
+{HEAD_SQL}
+UNION ALL SELECT 10, metric, printf('| %s | %.4f | %.4f | %.4f | %.4f |', metric, mean, std, lo, hi) FROM fsum
+UNION ALL SELECT 11, '', '' UNION ALL SELECT 12, '', '## Mean Attention Weights' UNION ALL SELECT 13, '', ''
+UNION ALL SELECT 14, label, printf('- Label %s: %.3f `%s`', label, weight, repeat('#', CAST(round_even(weight * 20, 0) AS INTEGER))) FROM am""")
+def _(spark, folder):
+    return rollup.report_document("task", "forest", scanned(spark, folder), scanned_times(spark, folder), attention(spark, folder))
+
+
+@query("intercorrelation_summary", f"""WITH {WIDE}, vary AS (SELECT feature FROM wide GROUP BY feature HAVING count(DISTINCT value) > 1),
+f2 AS (SELECT sample_id, feature, coalesce(value, m) AS value FROM wide JOIN vary USING (feature) JOIN (SELECT feature, median(value) AS m FROM wide GROUP BY ALL) USING (feature)),
+rk AS (SELECT sample_id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS rk FROM f2),
+sp AS (SELECT corr(p.rk, q.rk) AS r FROM rk p JOIN rk q ON p.sample_id = q.sample_id AND p.feature < q.feature GROUP BY p.feature, q.feature)
+SELECT (SELECT count(DISTINCT sample_id) FROM wide) AS n_samples, (SELECT count(*) FROM vary) AS n_features, 0.9::DOUBLE AS corr_threshold,
+  (SELECT count(*) FROM sp WHERE abs(r) > 0.9) AS n_high_corr_pairs""")
+def _(spark, folder):
+    from voxelframe.plans import jobs
+
+    return jobs.intercorrelation(cut_lineage(wide(spark, folder).select("sample_id", "feature", "value")), new_folder(spark, "correlation"), 0.9)

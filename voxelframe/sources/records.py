@@ -87,6 +87,12 @@ def read_fold_metrics(docs: DataFrame, model: str) -> DataFrame:
     return each.selectExpr("fold", "metric", f"{coerce_float('raw')} as value")
 
 
+def read_fold_times(docs: DataFrame, model: str) -> DataFrame:
+    """Run time (fold, seconds) of the same documents, 0 where one has none."""
+    rows = docs.selectExpr("int(regexp_extract(path, 'fold[_]?([0-9]+)', 1)) as fold", "from_json(doc, 'model string, runtime_seconds double') as d")
+    return rows.where(F.col("d.model").isNull() | (F.col("d.model") == model)).selectExpr("fold", "coalesce(d.runtime_seconds, 0D) as seconds")
+
+
 def write_plan(plan: DataFrame, path: str) -> None:
     plan.coalesce(1).write.mode("overwrite").parquet(path)
 
