@@ -13,7 +13,7 @@ from voxelframe.plans import extraction, maps, planning, preprocess
 from voxelframe.session import cut_lineage, new_folder
 from voxelframe.sources import bindings, records
 from voxelframe.sources.bindings import REGION, regions, samples, volumes, voxels
-from voxelframe.sources.volumes import crop_rows, ingest_violations, volumes_of, voxels_of
+from voxelframe.sources.volumes import blocks_of, crop_rows, ingest_violations, voxels_of, voxels_of_blocks
 
 TARGET = (0.8, 0.8, 0.7)
 
@@ -429,7 +429,7 @@ IS_IMAGE = "endswith(path, '_0000.nii.gz')"
 FROM vox JOIN spc USING (case_id)""")
 def _(spark, folder):
     files = nifti_files(volumes(spark, folder), "files")
-    rows = voxels_of(volumes_of(files.where(IS_IMAGE), files.where(f"not {IS_IMAGE}")), ("spacing",))
+    rows = voxels_of_blocks(blocks_of(files.where(IS_IMAGE), files.where(f"not {IS_IMAGE}")), ("spacing",))
     return rows.selectExpr("case_id", *AXES, "intensity", "label_id", "round(spacing[1], 6) as spacing_y", "round(spacing[2], 6) as spacing_x")
 
 
