@@ -47,7 +47,7 @@ def select_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return single.unionByName(folded.select(*[F.col("__row").getField(n).alias(n) for n in names]))
 
 
-def find_spans(text: Column, found: Column, pattern: str, passes, kind: str, order: int) -> Column:
+def find_spans(text: Column, found: Column, pattern: str | Column, passes, kind: str, order: int) -> Column:
     """Spans of the matches that pass, as array<struct<start, place, end, kind>>; positions are code points, end exclusive.
 
     ``found`` must be ``regexp_extract_all(text, pattern, 0)``: the matches and the pieces between them alternate, so their

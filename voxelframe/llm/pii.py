@@ -9,6 +9,8 @@ those that exceed a lower one are generalised. Everything is built from Spark SQ
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ TERM = r"(?<!\p{L})\p{L}{3,}+"
 REMOVE_FROM, GENERALISE_FROM = 0.9, 0.6
 #: Documents in which a term must be near the entity before their co-occurrence counts as evidence.
 SUPPORT = 2
+#: Probability with which any pair of an entity and a term passes the test of ``scan_whole`` by chance.
+CHANCE = 0.01
+BASE = "array<struct<start:long,place:int,end:long,kind:string>>"
 
 
 def _digits(m: Column) -> Column:
@@ -146,43 +151,113 @@ def scan(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "text_key", "base", F.transform(by_kind, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def _likelihood(observed: Column, expected: Column) -> Column:
+    """observed * ln(observed / expected), 0 for nothing observed."""
+    return F.when(observed > 0, observed * F.log(observed / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
+
+
+def _evidence(rows: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+    """Judged terms (term, remove) from ``rows`` (text_key, entities, mentions, blank: one row per different text with a
+    mention) and ``texts`` (text_key, text: one row per different text)."""
+    words = rows.select("text_key", F.explode(F.transform(F.regexp_extract_all("blank", F.lit(TERM), F.lit(0)), F.lower)).alias("term"))
+    held = cut_lineage(words.groupBy("text_key", "term").agg(F.count(F.lit(1)).alias("k_all")))
+    counted = texts.select(F.explode(F.array_distinct(F.transform(_distinct_words(F.col("text")), F.lower))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    per_term = cut_lineage(counted.join(held.select("term").distinct(), "term", "left_semi"))
+
+    # Entities of the same documents share all counts over documents, so they are one class.
+    each = rows.select("text_key", F.explode("entities").alias("entity"))
+    per_entity = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.struct(F.bit_xor(F.xxhash64("text_key")), F.min("text_key"), F.max("text_key")).alias("held_by"))
+    per_entity = cut_lineage(per_entity.select("entity", "n_entity", F.xxhash64("n_entity", "held_by").alias("class")).where(F.col("n_entity") < documents))
+    classed = each.join(per_entity, "entity")
+    by_class = classed.select("text_key", "class", "n_entity").distinct()
+
+    # Over documents: classes of two at least, and terms that are rare enough for the lower share.
+    n = float(max(documents, 2))
+    most = F.pow(F.col("n_entity"), F.lit(GENERALISE_FROM)) * n ** (1 - GENERALISE_FROM) * 1.001
+    several = held.join(per_term.where("n_term > 1"), "term").join(by_class.where("n_entity > 1"), "text_key").where(F.col("n_term") <= most)
+    together = several.groupBy("class", "term").agg(F.count(F.lit(1)).alias("n_both")).where("n_both > 1")
+
+    # Near the mentions: how often a term stands in their windows, against the share of the text that these are.
+    near = _nearby(rows.select(F.lit(0).alias("doc_id"), "text_key", "mentions")).groupBy("text_key", "entity", "term").agg(F.count(F.lit(1)).alias("k"))
+    mention = rows.select("text_key", F.length("blank").alias("length"), F.explode("mentions").alias("m"))
+    window = mention.groupBy("text_key", F.col("m.entity").alias("entity")).agg(
+        F.least(F.lit(0.5), F.sum(F.length("m.before") + F.length("m.after")) / F.max("length")).alias("w")
+    )
+    spots = near.join(held, ["text_key", "term"]).join(window, ["text_key", "entity"])
+    spots = spots.groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("near_in"), F.sum(F.least("k", "k_all")).alias("k"), F.sum("k_all").alias("k_all"), (F.sum(F.col("k_all") * F.col("w")) / F.sum("k_all")).alias("w"),
+    )
+    close = spots.join(per_entity, "entity")
+    known = together.join(per_entity.select("class", "entity", "n_entity"), "class").select("entity", "term", "n_entity", "n_both")
+    # Without two common documents a pair is known from its windows only, and the documents these lie in are its common ones.
+    pairs = known.join(close.select("entity", "term", "near_in", "k", "k_all", "w", F.col("n_entity").alias("n_close")), ["entity", "term"], "full_outer")
+    pairs = pairs.select("entity", "term", F.coalesce("n_entity", "n_close").alias("n_entity"), F.coalesce("n_both", "near_in").alias("n_both"), "k", "k_all", "w").join(per_term, "term")
+
+    e, t, both = (F.col(c).cast("double") for c in ("n_entity", "n_term", "n_both"))
+    common = _likelihood(both, e * t / n) + _likelihood(e - both, e * (n - t) / n) + _likelihood(t - both, t * (n - e) / n) + _likelihood(n - e - t + both, (n - e) * (n - t) / n)
+    common = F.when(both > e * t / n, common).otherwise(0.0)
+    k, k_all, w = F.col("k").cast("double"), F.col("k_all").cast("double"), F.col("w")
+    close_by = F.when(k > k_all * w, _likelihood(k, k_all * w) + _likelihood(k_all - k, k_all * (1 - w))).otherwise(0.0)
+    tested = cut_lineage(pairs.select("term", F.round(F.log2(n * both / (t * e)) / F.log2(n / e), 9).alias("share"), (common + F.coalesce(close_by, F.lit(0.0))).alias("score")))
+    tests = tested.count()
+    strong = tested.where((F.col("share") >= GENERALISE_FROM) & (F.col("score") >= math.log(max(tests, 1) / CHANCE)))
+    return strong.groupBy("term").agg((F.max("share") >= REMOVE_FROM).alias("remove"))
+
+
 def scan_whole(docs: DataFrame) -> DataFrame:
-    """As ``scan``, with evidence from whole documents: a term counts for every entity of its document, wherever it
-    stands and in however few documents, and every occurrence of a judged term in any text gets a span."""
+    """As ``scan``, with evidence from whole documents, tested against chance, and spans in every text.
+
+    Counts are of different texts: copies are no evidence. A term is judged by its share of the entity's information, as in
+    ``scan``, and only if the pair is unlikely by chance: its log-likelihood ratio, over documents and over places (how often
+    the term stands near the mentions, against the share of the text that is near), has to exceed that of one chance pair
+    among all pairs tested with probability ``CHANCE``. So a term of a single document counts only if it keeps close to the
+    mention, not for being rare. Every occurrence of a judged term in any text gets a span. Nulls, repeated rows, empty tables
+    and other columns are treated as in ``scan``.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = base_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    blank = F.when(F.size("__base") > 0, _blanked(text, F.array_sort("__base"))).otherwise(F.concat(F.lit(" "), text, F.lit(" ")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")).alias("text_key"))
+    rows = base_spans(keyed).withColumn("__padded", F.when(F.size("__base") > 0, _blanked(text, F.array_sort("__base"))))
     value = lambda s: F.concat_ws(":", s["kind"], F.lower(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    rows = rows.withColumn("blank", blank).withColumn("entities", F.array_distinct(F.transform("__base", value)))
-    rows = cut_lineage(rows.select("doc_id", text_key(F.col("text")).alias("text_key"), F.col("__base").alias("base"), "entities", "blank"))
 
-    documents = rows.count()
-    words = rows.withColumn("terms", F.array_distinct(F.transform(F.regexp_extract_all("blank", F.lit(TERM), F.lit(0)), F.lower)))
-    per_entity = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") < documents)
-    per_entity = cut_lineage(per_entity)
-    n = F.lit(float(max(documents, 1)))
-    # As n_both is at most n_entity, a share of GENERALISE_FROM bounds n_term; more frequent terms are left out early.
-    most = per_entity.agg(F.max("n_entity").alias("m")).first()["m"] or 0
-    bound = 1.001 * most**GENERALISE_FROM * max(documents, 1) ** (1 - GENERALISE_FROM)
-    per_term = cut_lineage(words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") <= bound))
-    held = words.where(F.size("entities") > 0).select("entities", F.explode("terms").alias("term")).join(per_term.select("term"), "term")
-    pairs = held.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    known = pairs.join(per_entity, "entity").join(per_term, "term")
-    share = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
-    judged = known.withColumn("share", F.round(share, 9)).where(F.col("share") >= GENERALISE_FROM)
-    judged = cut_lineage(judged.groupBy("term").agg((F.max("share") >= REMOVE_FROM).alias("remove")))
-
-    # A repeated row has the same marks, so they are made once per id and text.
-    hits = words.select("doc_id", "text_key", F.explode("terms").alias("term")).join(judged, "term").groupBy("doc_id", "text_key")
-    hits = hits.agg(F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("removed"), F.collect_set(F.when(~F.col("remove"), F.col("term"))).alias("hinted"))
-    hits = hits.withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"})
-    joined = rows.join(hits, rows["doc_id"].eqNullSafe(F.col("m_id")) & (rows["text_key"] == F.col("m_key")), "left")
-    parts = [F.array_sort("base")]
-    for place, (terms, kind) in enumerate((("removed", "reveals"), ("hinted", "hints")), len(KINDS)):
-        found = F.when(F.size(terms) > 0, F.regexp_extract_all("blank", F.lit(TERM), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        spans = find_spans(F.col("blank"), found, TERM, lambda m, terms=terms: F.array_contains(terms, F.lower(m)), kind, place)
-        parts.append(F.transform(spans, lambda s: F.struct((s["start"] - 1).alias("start"), s["place"].alias("place"), (s["end"] - 1).alias("end"), s["kind"].alias("kind"))))
-    by_kind = F.array_sort(F.transform(F.concat(*parts), lambda s: F.struct(s["place"].alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    def mention(s):
+        left = F.greatest(s["start"] - NEAR, F.lit(0).cast("long"))
+        return F.struct(
+            value(s).alias("entity"), F.substring("__padded", (left + 1).cast("int"), (s["start"] - left + 1).cast("int")).alias("before"), (left - 1).alias("from"),
+            F.substring("__padded", (s["end"] + 2).cast("int"), F.lit(NEAR + 1)).alias("after"), s["end"].alias("to"),
+        )
+
+    scanned = cut_lineage(rows.select(
+        "doc_id", "text_key", F.col("__base").alias("base"), F.array_distinct(F.transform("__base", value)).alias("entities"),
+        F.transform("__base", mention).alias("mentions"), F.col("__padded").alias("blank"),
+    ))
+    first = cut_lineage(scanned.groupBy("text_key").agg(F.min("doc_id").alias("one")))
+    documents = first.count()
+    marked = scanned.where(F.size("entities") > 0).select("text_key", "entities", "mentions", "blank")
+    once = keyed.join(first.withColumnsRenamed({"text_key": "one_key"}), (F.col("text_key") == F.col("one_key")) & F.col("doc_id").eqNullSafe(F.col("one")))
+    judged = cut_lineage(_evidence(marked.dropDuplicates(["text_key"]), once.select("text_key", "text").where("text is not null"), documents))
+
+    # Words as they are written, so that a text's judged words can be found in it again; what travels are these few words.
+    spelled = keyed.select("doc_id", "text_key", F.explode(_distinct_words(text)).alias("word"))
+    found = spelled.join(judged, F.lower("word") == F.col("term")).groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.when(F.col("remove"), F.col("word"))).alias("removed"), F.collect_set(F.when(~F.col("remove"), F.col("word"))).alias("hinted")
+    )
+    found = cut_lineage(found.withColumnsRenamed({"doc_id": "m_id", "text_key": "m_key"}))
+    held = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("m_id")) & (keyed["text_key"] == F.col("m_key"))).dropDuplicates(["doc_id", "text_key"])
+    spans = []
+    for place, (words, kind) in enumerate((("removed", "reveals"), ("hinted", "hints")), len(KINDS)):
+        pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})"))
+        matches = F.when(F.size(words) > 0, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(F.array().cast("array<string>"))
+        spans.append(find_spans(text, matches, pattern, lambda m: F.lit(True), kind, place))
+    more = held.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.concat(*spans).alias("more"))
+    joined = scanned.select("doc_id", "text_key", "base").join(more, scanned["doc_id"].eqNullSafe(F.col("m_id")) & (scanned["text_key"] == F.col("m_key")), "left")
+    # What stands inside a mention is its business.
+    outside = F.filter(F.coalesce("more", F.array().cast(BASE)), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    every = F.concat("base", outside)
+    by_kind = F.array_sort(F.transform(every, lambda s: F.struct(s["place"].alias("place"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return joined.select("doc_id", "text_key", "base", F.transform(by_kind, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("spans"))
 
 
