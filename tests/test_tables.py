@@ -268,3 +268,15 @@ def test_spearman_in_tiles_of_columns_is_the_same(spark):
         expected = part.pivot(index="sample_id", columns="feature", values="value").rank().corr()
         for (f, a, b), r in whole.items():
             assert f != fold or r == pytest.approx(expected.loc[a, b])
+
+
+@pytest.mark.parametrize("tile,slab", [(2, 7), (3, 1000), (512, 1 << 15)])
+def test_strong_pairs_are_those_of_the_whole_matrix(spark, tile, slab):
+    """Two folds, ties, a flat feature, pairs on both sides of the threshold, in tiles and slabs of any size."""
+    base = spark.range(60).selectExpr("id as sample_id", "explode(array(0, 1)) as fold").selectExpr(
+        "*", "double((sample_id * 37 + fold) % 23) as a", "double((sample_id * 53) % 31) as c"
+    ).selectExpr("sample_id", "fold", "a", "2 * a + 1 as b", "if(sample_id % 9 = 0, -a, a) as d", "c", "-c * c as e", "a + c / 4 as f", "1D as g")
+    rows = base.selectExpr("sample_id", "fold", "stack(7, 'a', a, 'b', b, 'c', c, 'd', d, 'e', e, 'f', f, 'g', g) as (feature, value)")
+    want = {(r.fold, r.a, r.b): r.r for r in quality.correlated_pairs(quality.spearman(rows, ["fold"]), 0.8).collect()}
+    got = {(r.fold, r.a, r.b): r.r for r in quality.strong_pairs(rows, 0.8, ["fold"], tile, slab).collect()}
+    assert got.keys() == want.keys() and len(want) >= 6 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)

@@ -68,14 +68,14 @@ def _(spark, folder):
 
 @query("high_corr_pairs", f"WITH {SPEAR} SELECT a, b, {near('r')} AS r FROM sp WHERE abs(r) > 0.9 ORDER BY abs(r) DESC")
 def _(spark, folder):
-    pairs = quality.correlated_pairs(quality.spearman(filled(spark, folder)), 0.9)
+    pairs = quality.strong_pairs(filled(spark, folder), 0.9)
     return rounded(pairs).orderBy(F.abs("r").desc(), "a", "b")
 
 
 @query("corr_prune", f"WITH {SPEAR} SELECT DISTINCT feature FROM filled WHERE feature NOT IN (SELECT b FROM sp WHERE abs(r) > 0.9)")
 def _(spark, folder):
     rows = filled(spark, folder)
-    return quality.correlation_prune(rows.select("feature").distinct(), quality.spearman(rows), 0.9)
+    return quality.correlation_prune(rows.select("feature").distinct(), quality.strong_pairs(rows, 0.9), 0.9)
 
 
 REPEATS = MAT + """, rep AS (SELECT feature, sample_id // 5 AS case_id, sample_id % 5 AS repeat,

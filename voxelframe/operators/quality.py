@@ -129,6 +129,62 @@ def spearman(rows: DataFrame, keys: list[str] = (), tile: int = 1024) -> DataFra
     return pairs.selectExpr(*keys, "a", "b", "if(size_a > 0 and size_b > 0, s / sqrt(size_a * size_b), 0D) as r")
 
 
+def strong_pairs(rows: DataFrame, threshold: float, keys: list[str] = (), tile: int = 512, slab: int = 1 << 15) -> DataFrame:
+    """Feature pairs a < b with a rank correlation beyond ``threshold`` in size: keys, a, b, r.
+
+    As ``correlated_pairs(spearman(rows, keys), threshold)``, without a row per pair of features. Ranks are scaled to unit
+    length per feature, so sums of products are correlations. A task streams the samples of one pair of tiles and one
+    slab of samples through a sum of tile x tile numbers; the sums travel as binary blocks, one per slab, and where they are
+    added up the threshold is applied, so only strong pairs become rows. Values must be complete.
+    """
+    keys = list(keys)
+    ranks = value_ranks(rows.withColumn("_set", F.lit(0)), [*keys, "_set", "feature"], "value").selectExpr(*keys, "feature", "value", "n", "rank - (total + 1) / 2D as rank")
+    lengths = ranks.groupBy(*keys, "feature").agg(F.sqrt(F.sum(F.col("n") * F.col("rank") * F.col("rank"))).alias("length"))
+    unit = ranks.join(lengths, [*keys, "feature"]).selectExpr(*keys, "feature", "value", "if(length > 0, rank / length, 0D) as u")
+    spread = rows.join(unit, [*keys, "feature", "value"]).repartition(partitions(rows), *keys, "sample_id")
+    vectors = spread.groupBy(*keys, "sample_id").agg(F.expr("map_from_entries(collect_list(struct(feature, u))) as cells"))
+    vectors = vectors.select(*keys, "sample_id", "cells", _names(rows, keys).alias("names")).selectExpr(*keys, "sample_id", "transform(names, n -> coalesce(cells[n], 0D)) as units")
+    slabs = max(1, -(-rows.select("sample_id").distinct().count() // slab))
+    last = f"int(ceil(size(units) / {tile}D)) - 1"
+    tiles = vectors.selectExpr("*", f"int(pmod(xxhash64(sample_id), {slabs})) as slab", f"explode(sequence(0, {last})) as ti").selectExpr("*", f"explode(sequence(ti, {last})) as tj")
+    tiles = tiles.selectExpr(*keys, "ti", "tj", "slab", f"slice(units, ti * {tile} + 1, {tile}) as rows", f"slice(units, tj * {tile} + 1, {tile}) as cols")
+    groups, kinds = [*keys, "ti", "tj"], dict(rows.dtypes)
+    typed = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "ti int", "tj int"])
+
+    def sums(batches, by, value):
+        """(key, sum of ``value(part)``) of every run of rows with one key."""
+        current, total = None, None
+        for batch in batches:
+            for key, part in batch.groupby(by, sort=False, dropna=False):
+                if key != current:
+                    if current is not None:
+                        yield current, total
+                    current, total = key, 0.0
+                total = total + value(part)
+        if current is not None:
+            yield current, total
+
+    def products(batches):
+        for key, block in sums(batches, [*groups, "slab"], lambda part: np.stack(part["rows"].to_numpy()).T @ np.stack(part["cols"].to_numpy())):
+            yield pd.DataFrame({**{n: [v] for n, v in zip(groups, key)}, "width": [block.shape[1]], "block": [block.tobytes()]})
+
+    def beyond(batches):
+        def added(part):
+            return sum(np.frombuffer(b).reshape(-1, w) for b, w in zip(part["block"], part["width"]))
+
+        for key, block in sums(batches, groups, added):
+            i, j = np.nonzero(np.abs(block) > threshold)
+            ahead = i + key[-2] * tile < j + key[-1] * tile
+            i, j = i[ahead], j[ahead]
+            yield pd.DataFrame({**{n: v for n, v in zip(keys, key)}, "i": i + key[-2] * tile, "j": j + key[-1] * tile, "r": block[i, j]}, index=range(len(i)))
+
+    dealt = tiles.repartition(partitions(rows), *groups, "slab").sortWithinPartitions(*groups, "slab")
+    blocks = dealt.mapInPandas(products, f"{typed}, width int, block binary")
+    found = blocks.repartition(partitions(rows), *groups).sortWithinPartitions(*groups)
+    strong = found.mapInPandas(beyond, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "i int", "j int", "r double"]))
+    return strong.withColumn("names", _names(rows, keys)).selectExpr(*keys, "names[i] as a", "names[j] as b", "r")
+
+
 def correlated_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(F.abs("r") > threshold)
 

@@ -31,7 +31,7 @@ def rank_train(
     train = scaled.where("role = 'train'")
     varied = cut_lineage(quality.variance_filter(train, keys, variance).select(*keys, "feature"))  # a row per fold and feature
     train = train.join(varied, [*keys, "feature"], "left_semi")
-    kept = quality.correlation_prune(varied, quality.spearman(train, keys), correlation, keys)
+    kept = quality.correlation_prune(varied, quality.strong_pairs(train, correlation, keys), correlation, keys)
     train = train.join(kept, [*keys, "feature"], "left_semi")
     scores = quality.f_regression(train, keys) if regression else quality.anova_f(train, keys)
     scores = scores.withColumn("f", F.round("f", 9))  # sums arrive in any order; ties must not hang on their last bits

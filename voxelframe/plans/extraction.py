@@ -156,16 +156,25 @@ def reproducibility(perturbed: DataFrame, repeats: int) -> tuple[DataFrame, Data
     return scores, quality.icc_summary(scores, repeats)
 
 
-def intercorrelation(features: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """All feature pairs and the strongly correlated ones, on valid, varying, median-filled features."""
+def _varying(features: DataFrame) -> DataFrame:
+    """Complete rows of the features that vary, with medians for what is missing."""
     varying = quality.valid_features(features).where("any_value and varies").select("feature")
-    rows = features.join(varying, "feature", "left_semi")
-    rows = quality.complete(rows, [])
-    full = cut_lineage(quality.fill_median(rows, quality.medians(rows, []), []))
-    pairs = quality.spearman(full)
+    rows = quality.complete(features.join(varying, "feature", "left_semi"), [])
+    return cut_lineage(quality.fill_median(rows, quality.medians(rows, []), []))
+
+
+def intercorrelation(features: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """All feature pairs and the strongly correlated ones, on valid, varying, median-filled features. The first table has a row
+    per pair of features; who wants the second one only takes ``strong_correlations``."""
+    pairs = quality.spearman(_varying(features))
     return pairs, quality.correlated_pairs(pairs, threshold).orderBy(F.abs("r").desc(), "a", "b")
 
 
+def strong_correlations(features: DataFrame, threshold: float = 0.9) -> DataFrame:
+    """The strongly correlated pairs, strongest first."""
+    return quality.strong_pairs(_varying(features), threshold).orderBy(F.abs("r").desc(), "a", "b")
+
+
 def intercorrelation_summary(features: DataFrame, strong: DataFrame, threshold: float = 0.9) -> DataFrame:
     """One row: samples, features with values that vary, the threshold, and the pairs above it."""
     varying = quality.valid_features(features).where("any_value and varies").agg(F.count(F.lit(1)).alias("n"))

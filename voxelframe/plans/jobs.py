@@ -92,7 +92,7 @@ def preprocess(
         cells = maps.crop_voxels(crops, keys)
         ledger.table("icc", lambda: _stability(cells, crops, keys, modality, repeats, width, seed), settings, (crops_hash,))
         rows = features.selectExpr("concat_ws(':', case_id, label_id) as sample_id", "feature", "value")
-        strong, strong_hash = ledger.table("high_pairs", lambda: extraction.intercorrelation(rows)[1], 0.9, (features_hash,))
+        strong, strong_hash = ledger.table("high_pairs", lambda: extraction.strong_correlations(rows), 0.9, (features_hash,))
         ledger.table("correlation_summary", lambda: extraction.intercorrelation_summary(rows, strong), 0.9, (features_hash, strong_hash))
     if maps_wanted:
         store = f"{path}/map-store"
