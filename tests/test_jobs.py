@@ -157,7 +157,7 @@ def test_training_goes_on_and_is_tested_and_reported(spark, tmp_path, monkeypatc
     holdout = jobs.make_holdout(cases, str(tmp_path / "holdout"), 0.25)
     train_cases = holdout.where("split = 'train'").select("case_id")
     folds = jobs.make_folds(train_cases, str(tmp_path / "folds"), 3)
-    settings, out = training.Settings(trees=5, depth=3, k=2), str(tmp_path / "out")
+    settings, out = training.Settings(trees=5, depth=3, k=2, tune=False), str(tmp_path / "out")
     run = lambda: jobs.train(features, targets, folds, 3, out, settings)
     fitted, real = [], training.predictions_of
 

@@ -84,7 +84,7 @@ def test_preparation_ignores_validation_rows(spark):
 
 @pytest.mark.parametrize("method,imbalance", [("univariate", "class_weight"), ("rf_importance", "oversample"), ("rfe", "none"), ("none", "none")])
 def test_training(spark, method, imbalance, tmp_path):
-    settings = training.Settings(trees=5, depth=4, k=2, method=method, imbalance=imbalance)
+    settings = training.Settings(trees=5, depth=4, k=2, method=method, imbalance=imbalance, tune=False)
     rows = fold_rows(spark)
     out = training.train_folds(rows, settings)
     assert out.predictions.count() == 60
@@ -102,7 +102,7 @@ def test_training(spark, method, imbalance, tmp_path):
 
 
 def test_finished_folds_are_skipped(spark):
-    out = training.train_folds(fold_rows(spark), training.Settings(trees=2, depth=2, k=2), done={0})
+    out = training.train_folds(fold_rows(spark), training.Settings(trees=2, depth=2, k=2, tune=False), done={0})
     assert [m.fold for m in out.models] == [1]
 
 
@@ -193,7 +193,7 @@ def test_train_job(spark, tmp_path):
     features = rows.selectExpr("case_id", "label_id", "stack(3, 'a', a, 'b', b, 'flat', 1D) as (feature, value)")
     targets = rows.selectExpr("case_id", "label_id", "double(label_id) as value")
     folds = jobs.make_folds(rows.select("case_id"), str(tmp_path / "folds"), 2)
-    settings = training.Settings(trees=5, depth=3, k=2)
+    settings = training.Settings(trees=5, depth=3, k=2, tune=False)
     got = {r.metric: r.value for r in jobs.train(features, targets, folds, 2, str(tmp_path / "out"), settings).where("fold = 0").collect()}
     assert got["auc"] > 0.9
     new = features.selectExpr("concat(case_id, '__label', label_id) as sample_id", "feature", "value")
@@ -208,7 +208,7 @@ def test_train_job_per_case_leaves_unstable_features_out(spark, tmp_path):
     folds = jobs.make_folds(rows.select("case_id"), str(tmp_path / "folds"), 2)
     icc = spark.createDataFrame([("a", 0.1), ("b", 0.99)], "feature string, icc double")
     out = str(tmp_path / "out")
-    jobs.train(features, targets, folds, 2, out, training.Settings(trees=5, depth=3, k=4), scope="per_case", icc=icc)
+    jobs.train(features, targets, folds, 2, out, training.Settings(trees=5, depth=3, k=4, tune=False), scope="per_case", icc=icc)
     chosen = spark.read.parquet(f"{out}/bundle/chosen").select("feature").distinct().collect()
     assert {r.feature for r in chosen} <= {"label001_b", "label002_b"} and chosen
     assert spark.read.parquet(f"{out}/predictions").count() == 120

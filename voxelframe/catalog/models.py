@@ -11,7 +11,7 @@ from voxelframe.plans import maps
 from voxelframe.session import cut_lineage, new_folder
 from voxelframe.sources import bindings
 
-SMALL = dict(trees=10, depth=5, k=8)
+SMALL = dict(trees=10, depth=5, k=8, tune=False)
 
 
 def matrix(spark, folder, folds=3, regression=False):
@@ -30,15 +30,15 @@ def trained(spark, folder, settings, folds=3):
 
 @query("rf_fit_predict")
 def _(spark, folder):
-    """With the default settings: 500 trees without a depth limit on up to 128 features."""
-    out = trained(spark, folder, training.Settings(), 2).predictions
+    """One untuned fit per fold: 500 trees without a depth limit on up to 128 features."""
+    out = trained(spark, folder, training.Settings(tune=False), 2).predictions
     return rounded(out.selectExpr("fold", "sample_id", "y", "y_pred", "proba[1] as p1"))
 
 
 @query("train_cv")
 def _(spark, folder):
-    """Five folds with the default settings."""
-    settings = training.Settings()
+    """Five folds with the default settings but for the search, which `rf_random_search` runs."""
+    settings = training.Settings(tune=False)
     out = trained(spark, folder, settings, 5)
     return rounded(rollup.fold_summary(training.fold_metrics(out.predictions, settings)))
 
@@ -57,15 +57,14 @@ def _(spark, folder):
 
 @query("rfe")
 def _(spark, folder):
-    settings = training.Settings(method="rfe", trees=5, depth=4, k=40)
+    settings = training.Settings(method="rfe", trees=5, depth=4, k=40, tune=False)
     return trained(spark, folder, settings, 2).chosen.select("fold", "feature", "place")
 
 
 @query("rf_random_search")
 def _(spark, folder):
-    grid = {**training.GRID, "numTrees": [5, 10], "maxDepth": [4, 6]}
-    settings = training.Settings(tune=True, draws=2, inner_folds=2, grid=grid, **SMALL)
-    out = trained(spark, folder, settings, 2)
+    """The default search: 20 draws of the whole grid over 3 inner folds, for each of two folds."""
+    out = trained(spark, folder, training.Settings(), 2)
     rows = [(m.fold, k, str(v)) for m in out.models for k, v in m.params.items()]
     return spark.createDataFrame(rows, "fold int, parameter string, value string")
 

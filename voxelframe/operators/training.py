@@ -9,8 +9,10 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -45,9 +47,10 @@ class Settings:
     correlation: float = quality.FOLD_CORRELATION
     method: str = "univariate"
     imbalance: str = "class_weight"
-    tune: bool = False
+    tune: bool = True
     draws: int = 20
     inner_folds: int = 3
+    parallel: int = 8  # fits of a search that run side by side
     grid: dict = field(default_factory=lambda: dict(GRID))
 
     def __post_init__(self):
@@ -160,20 +163,24 @@ def random_search(train: DataFrame, settings: Settings) -> dict:
     folds = splits.kfold(cases, inner, settings.seed, None if settings.regression else "stratum").withColumnRenamed("fold", "inner")
     rows = cut_lineage(train.join(folds.withColumnRenamed("case_id", "sample_id"), "sample_id"))
     generator = random.Random(settings.seed)
-    best: tuple[float, dict] | None = None
+    drawn = []
     for _ in range(settings.draws):
-        drawn = {name: generator.choice(values) for name, values in settings.grid.items()}
-        leaf = max(drawn.pop("min_leaf"), drawn.pop("min_split") // 2)
-        params = {**drawn, "minInstancesPerNode": leaf}
-        scores = []
-        for k in range(inner):
-            model = estimator(settings, **params).fit(rows.where(F.col("inner") != k))
-            scores.append(_search_score(model.transform(rows.where(F.col("inner") == k)), settings))
-        known = [s for s in scores if s is not None]
-        mean = sum(known) / len(known) if known else float("-inf")
-        if best is None or mean > best[0]:
-            best = (mean, params)
-    return best[1]
+        draw = {name: generator.choice(values) for name, values in settings.grid.items()}
+        leaf = max(draw.pop("min_leaf"), draw.pop("min_split") // 2)
+        drawn.append({**draw, "minInstancesPerNode": leaf})
+
+    def fit(params: dict, k: int) -> float | None:
+        model = estimator(settings, **params).fit(rows.where(F.col("inner") != k))
+        return _search_score(model.transform(rows.where(F.col("inner") == k)), settings)
+
+    # Every fit is a small job; side by side they fill the executors. Scores come back in order, so ties go to the first draw.
+    different = [dict(d) for d in dict.fromkeys(tuple(sorted(d.items())) for d in drawn)]
+    with ThreadPoolExecutor(settings.parallel) as pool:
+        running = [[pool.submit(inheritable_thread_target(train.sparkSession)(fit), params, k) for k in range(inner)] for params in different]
+        scores = [[f.result() for f in fits] for fits in running]
+    known = [[s for s in each if s is not None] for each in scores]
+    means = [sum(each) / len(each) if each else float("-inf") for each in known]
+    return different[max(range(len(different)), key=lambda i: (means[i], -i))]
 
 
 @dataclass
