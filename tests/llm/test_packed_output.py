@@ -19,3 +19,10 @@ def test_last_stage_returns_the_ids(spark, docs):
     for i, text in {(r.doc_id, r.text) for r in few.collect()}:
         ids = [x for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start) for x in r.ids]
         assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END_OF_DOCUMENT]
+
+
+def test_texts_are_looked_up_in_lists_of_bounded_size():
+    from voxelframe.llm.packing import together
+
+    texts = ["a" * 5, "", "b" * 6, "c" * 30, "", "d"]
+    assert list(together(texts, 10)) == [["a" * 5, ""], ["b" * 6], ["c" * 30], ["", "d"]] and list(together([], 10)) == []

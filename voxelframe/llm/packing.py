@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,7 @@ from voxelframe.llm.common import small_batches
 SEQUENCE = 2048
 END_OF_DOCUMENT = 1
 CACHE_WORDS = 250_000  # of each generation
+TOGETHER = 1 << 20  # characters of the texts whose words are looked up at once
 
 SCHEMA = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 BARE = SCHEMA.replace("ids array<int>, ", "")
@@ -64,25 +66,45 @@ class WordCache:
             text = text.replace(".", " . ").replace(",", " , ").replace("\n", " ")
         return text.split(" ")
 
-    def ids(self, text: str) -> np.ndarray:
-        words = self.pieces(text)
+    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text; words that are in no generation go through the tokenizer together."""
+        cut = [self.pieces(text) for text in texts]
         new, old = self.new, self.old
-        unknown = []
-        for word in [w for w in set(words) if w not in new]:
-            known = old.get(word)
-            if known is None:
-                unknown.append(word)
-            else:
-                new[word] = known
-        for i in range(0, len(unknown), 5000):
-            part = unknown[i : i + 5000]
+        unknown: dict[str, None] = {}
+        for words in cut:
+            for word in set(words).difference(new):
+                known = old.get(word)
+                if known is None:
+                    unknown[word] = None
+                else:
+                    new[word] = known
+        waiting = list(unknown)
+        for i in range(0, len(waiting), 5000):
+            part = waiting[i : i + 5000]
             for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 new[word] = array("I", code.ids).tobytes()
-        out = np.frombuffer(b"".join(map(new.__getitem__, words)), dtype="<u4")
+        out = [np.frombuffer(b"".join(map(new.__getitem__, words)), dtype="<u4") for words in cut]
         if len(new) > CACHE_WORDS:
             self.old, self.new = new, {}
         return out
 
+    def ids(self, text: str) -> np.ndarray:
+        return self.ids_of([text])[0]
+
+
+def together(texts: list[str], chars: int = TOGETHER) -> Iterator[list[str]]:
+    """The texts in their order, in lists of about so many characters; a longer text is a list of its own."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text) > chars:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
 
 @lru_cache(maxsize=2)
 def word_cache(path: str) -> WordCache:
@@ -110,8 +132,10 @@ def pack(docs: DataFrame, vocabulary: str, sequence: int = SEQUENCE, with_ids: b
         for batch in batches:
             rows: list[tuple] = []
             blobs: list[np.ndarray] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.concatenate([cache.ids(text.as_py() or ""), end])
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            found = (ids for part in together(texts) for ids in cache.ids_of(part))
+            for doc_id, words in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids = np.concatenate([words, end])
                 at = 0
                 for size in piece_lengths(len(ids), sequence):
                     part = ids[at : at + size]
