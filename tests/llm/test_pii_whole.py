@@ -22,13 +22,13 @@ def expected(texts):
     """Spans of every text, by the definitions and without any pruning."""
     different = list(dict.fromkeys(texts))  # None and "" are two texts
     n = len(different)
-    rows, n_term, in_texts = {}, Counter(), defaultdict(set)
+    rows, in_texts = {}, defaultdict(set)
+    in_rows = Counter(w for text in texts if text is not None for w in {w.lower() for w in re.findall(LETTERS, text)})
+    n_term = {t: count * (n / len(texts)) for t, count in in_rows.items()}
     for text in different:
         plain = text or ""
         base = sorted(base_pii(plain), key=lambda s: (s[1], s[0]))
         blank = "".join("#" if any(a <= i < b for _, a, b, _ in base) else c for i, c in enumerate(plain))
-        if text is not None:
-            n_term.update({w.lower() for w in re.findall(LETTERS, plain)})
         found = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(LETTERS, blank)]
         mentions = [(f"{k}:{plain[a:b].lower()}", a, b) for _, a, b, k in base]
         for e, *_ in mentions:
@@ -51,9 +51,9 @@ def expected(texts):
     tests = {}
     for (e, t), together in both.items():
         n_e = len(in_texts[e])
-        if n_e == n or not n_term[t]:
+        if n_e == n or t not in n_term:
             continue
-        known = together > 1 and n_term[t] > 1 and n_e > 1 and n_term[t] <= n_e**pii.GENERALISE_FROM * max(n, 2) ** (1 - pii.GENERALISE_FROM) * 1.001
+        known = together > 1 and in_rows[t] > 1 and n_e > 1 and n_term[t] <= n_e**pii.GENERALISE_FROM * max(n, 2) ** (1 - pii.GENERALISE_FROM) * 1.001
         if not known and (e, t) not in k:
             continue
         x = together if known else near_in[e, t]

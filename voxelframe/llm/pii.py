@@ -160,12 +160,15 @@ def _likelihood(observed: Column, expected: Column) -> Column:
     return F.when(observed > 0, observed * F.log(observed / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
 
 
-def _evidence(rows: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+def _evidence(rows: DataFrame, docs: DataFrame, documents: int, n_rows: int) -> DataFrame:
     """Judged terms (term, remove) from ``rows`` (text_key, entities, mentions, blank: one row per different text with a
-    mention) and ``texts`` (text_key, text: one row per different text)."""
+    mention) and ``docs`` (text: all ``n_rows`` rows, of ``documents`` different texts).
+
+    How frequent a term is comes from all rows, brought to the number of different texts, so that no text has to be matched
+    with its copies."""
     words = rows.select("text_key", F.explode(F.transform(F.regexp_extract_all("blank", F.lit(TERM), F.lit(0)), F.lower)).alias("term"))
     held = cut_lineage(words.groupBy("text_key", "term").agg(F.count(F.lit(1)).alias("k_all")))
-    counted = texts.select(F.explode(F.array_distinct(F.transform(_distinct_words(F.col("text")), F.lower))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    counted = docs.select(F.explode(F.array_distinct(F.transform(_distinct_words(F.col("text")), F.lower))).alias("term")).groupBy("term").agg((F.count(F.lit(1)) * (documents / max(n_rows, 1))).alias("n_term"), F.count(F.lit(1)).alias("n_rows"))
     per_term = cut_lineage(counted.join(held.select("term").distinct(), "term", "left_semi"))
 
     # Entities of the same documents share all counts over documents, so they are one class.
@@ -178,7 +181,7 @@ def _evidence(rows: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
     # Over documents: classes of two at least, and terms that are rare enough for the lower share.
     n = float(max(documents, 2))
     most = F.pow(F.col("n_entity"), F.lit(GENERALISE_FROM)) * n ** (1 - GENERALISE_FROM) * 1.001
-    several = held.join(per_term.where("n_term > 1"), "term").join(by_class.where("n_entity > 1"), "text_key").where(F.col("n_term") <= most)
+    several = held.join(per_term.where("n_rows > 1"), "term").join(by_class.where("n_entity > 1"), "text_key").where(F.col("n_term") <= most)
     together = several.groupBy("class", "term").agg(F.count(F.lit(1)).alias("n_both")).where("n_both > 1")
 
     # Near the mentions: how often a term stands in their windows, against the share of the text that these are.
@@ -211,7 +214,7 @@ def _evidence(rows: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
 def scan_whole(docs: DataFrame) -> DataFrame:
     """As ``scan``, with evidence from whole documents, tested against chance, and spans in every text.
 
-    Counts are of different texts: copies are no evidence. A term is judged by its share of the entity's information, as in
+    Counts are of different texts: copies are no evidence, they only make their terms more frequent. A term is judged by its share of the entity's information, as in
     ``scan``, and only if the pair is unlikely by chance: its log-likelihood ratio, over documents and over places (how often
     the term stands near the mentions, against the share of the text that is near), has to exceed that of one chance pair
     among all pairs tested with probability ``CHANCE``. So a term of a single document counts only if it keeps close to the
@@ -234,11 +237,9 @@ def scan_whole(docs: DataFrame) -> DataFrame:
         "doc_id", "text_key", F.col("__base").alias("base"), F.array_distinct(F.transform("__base", value)).alias("entities"),
         F.transform("__base", mention).alias("mentions"), F.col("__padded").alias("blank"),
     ))
-    first = cut_lineage(scanned.groupBy("text_key").agg(F.min("doc_id").alias("one")))
-    documents = first.count()
+    n_rows, documents = scanned.agg(F.count(F.lit(1)), F.countDistinct("text_key")).first()
     marked = scanned.where(F.size("entities") > 0).select("text_key", "entities", "mentions", "blank")
-    once = keyed.join(first.withColumnsRenamed({"text_key": "one_key"}), (F.col("text_key") == F.col("one_key")) & F.col("doc_id").eqNullSafe(F.col("one")))
-    judged = cut_lineage(_evidence(marked.dropDuplicates(["text_key"]), once.select("text_key", "text").where("text is not null"), documents))
+    judged = cut_lineage(_evidence(marked.dropDuplicates(["text_key"]), docs.select("text").where("text is not null"), documents, n_rows))
 
     # Words as they are written, so that a text's judged words can be found in it again; what travels are these few words.
     spelled = keyed.select("doc_id", "text_key", F.explode(_distinct_words(text)).alias("word"))
